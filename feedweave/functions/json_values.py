@@ -19,21 +19,39 @@ def is_absent(value: Column) -> Column:
     return value.isNull() | F.is_variant_null(value)
 
 
+# The five JSON types a contract speaks of, by the type a parsed value reports.
+TYPE_OF = {
+    "STRING": "STRING",
+    "BIGINT": "NUMBER",
+    "DECIMAL": "NUMBER",
+    "DOUBLE": "NUMBER",
+    "BOOLEAN": "BOOLEAN",
+    "ARRAY": "ARRAY",
+    "OBJECT": "OBJECT",
+}
+NULL = "NULL"
+
+
+def stored_type(value: Column) -> Column:
+    """The type as stored, without its parameters; null when the value is absent."""
+    return F.substring_index(F.substring_index(F.schema_of_variant(value), "<", 1), "(", 1)
+
+
+def json_type_or_null(value: Column) -> Column:
+    """STRING, NUMBER, BOOLEAN, ARRAY, OBJECT or NULL; SQL null when absent. Looks at the value once."""
+    pairs = [F.lit(text) for pair in [*TYPE_OF.items(), ("VOID", NULL)] for text in pair]
+    return F.try_element_at(F.create_map(*pairs), stored_type(value))
+
+
 def json_type(value: Column) -> Column:
-    """STRING, NUMBER, BOOLEAN, ARRAY or OBJECT; a JSON null counts as OBJECT, an absent value gives null."""
-    kind = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull(), F.lit(None).cast("string"))
-        .when(kind == "STRING", F.lit("STRING"))
-        .when((kind == "BIGINT") | (kind == "DOUBLE") | kind.startswith("DECIMAL"), F.lit("NUMBER"))
-        .when(kind == "BOOLEAN", F.lit("BOOLEAN"))
-        .when(kind.startswith("ARRAY"), F.lit("ARRAY"))
-        .otherwise(F.lit("OBJECT"))
-    )
+    """The same with a JSON null counting as OBJECT."""
+    return F.replace(json_type_or_null(value), F.lit(NULL), F.lit("OBJECT"))
 
 
-def is_text(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
+def text_at(document: Column, path: str) -> Column:
+    """The text at a path; null when absent or not a text."""
+    value = node(document, path)
+    return F.when(F.schema_of_variant(value) == "STRING", as_text(value))
 
 
 def as_text(value: Column) -> Column:
@@ -59,10 +77,10 @@ def number_text(value: Column) -> Column:
 
 def as_flag(value: Column) -> Column:
     """A lenient boolean: true, "true" or a number other than zero; anything else is false."""
-    kind = json_type(value)
+    kind = stored_type(value)
     return F.coalesce(
         F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
         .when(kind == "STRING", F.trim(as_text(value)) == "true")
-        .when(kind == "NUMBER", F.try_variant_get(value, "$", "double") != 0),
+        .when(kind.isNotNull(), F.try_variant_get(value, "$", "double") != 0),
         F.lit(False),
     )

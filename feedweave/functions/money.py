@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DECIMAL_TEXT = r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]{1,9})?\z"
+# Amounts as they nearly always come; these need no digit work.
+PLAIN = r"\A-?[0-9]{1,15}(\.[0-9]{1,2})?\z"
 ROUNDING = "Rounding necessary"
 OVERFLOW = "Overflow"
 
@@ -34,5 +36,8 @@ def to_minor_units(text: Column) -> tuple[Column, Column]:
     units = F.when(is_zero, F.lit(0).cast("bigint")).otherwise(
         F.concat(sign, F.when(shift < 0, kept).otherwise(grown)).try_cast("bigint")
     )
-    problem = F.when(inexact, F.lit(ROUNDING)).when(~is_zero & units.isNull(), F.lit(OVERFLOW))
-    return F.when(problem.isNull(), units).otherwise(F.lit(0).cast("bigint")), problem
+    plain = F.coalesce(text.rlike(PLAIN), F.lit(False))
+    plain_units = (text.try_cast("decimal(17,2)") * 100).cast("bigint")
+    problem = F.when(~plain, F.when(inexact, F.lit(ROUNDING)).when(~is_zero & units.isNull(), F.lit(OVERFLOW)))
+    exact = F.when(plain, plain_units).otherwise(F.when(~inexact, units))
+    return F.coalesce(exact, F.lit(0).cast("bigint")), problem

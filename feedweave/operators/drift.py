@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedweave.functions import json_values as J
+from feedweave.functions.once import compute_once
 from feedweave.operators.contract import Contract, Field
 
 FINDING = "struct<kind: string, field: string, expected: string, actual: string, details: string>"
@@ -26,6 +27,7 @@ WARNING, BLOCKING = "WARNING", "BLOCKING"
 FINGERPRINT_WIDTH = 256
 
 DOCUMENT = "_document"
+TYPES = "_types"
 
 
 def with_document(records: DataFrame) -> DataFrame:
@@ -35,6 +37,20 @@ def with_document(records: DataFrame) -> DataFrame:
     return records.withColumn(DOCUMENT, J.parse(F.col("payload")))
 
 
+def with_types(records: DataFrame, contract: Contract) -> DataFrame:
+    """Look up the JSON type of every declared field once: an array in contract order."""
+    types = [J.json_type_or_null(J.node(F.col(DOCUMENT), field.path)) for field in contract.fields]
+    return with_document(records).withColumn(TYPES, F.array(*types))
+
+
+def _type(contract: Contract, field: Field) -> Column:
+    return F.get(F.col(TYPES), F.lit(contract.fields.index(field)))
+
+
+def _is_absent(kind: Column) -> Column:
+    return kind.isNull() | (kind == J.NULL)
+
+
 def _finding(kind: str, field: Column, expected: Column, actual: Column, details: Column) -> Column:
     return F.struct(
         F.lit(kind).alias("kind"),
@@ -45,36 +61,35 @@ def _finding(kind: str, field: Column, expected: Column, actual: Column, details
     )
 
 
-def _missing(field: Field) -> Column:
-    value = J.node(F.col(DOCUMENT), field.path)
+def _missing(contract: Contract, field: Field) -> Column:
+    if not field.required:
+        return F.lit(None).cast(FINDING)
     found = _finding(
         MISSING, F.lit(field.path), F.lit(field.type), F.lit(None), F.lit(f"required field '{field.path}' is missing")
     )
-    return F.when(J.is_absent(value) if field.required else F.lit(False), found)
+    return F.when(_is_absent(_type(contract, field)), found)
 
 
-def _retyped(field: Field) -> Column:
-    value = J.node(F.col(DOCUMENT), field.path)
-    actual = J.json_type(value)
+def _retyped(contract: Contract, field: Field) -> Column:
+    actual = _type(contract, field)
     details = F.concat(F.lit(f"field '{field.path}' is "), actual, F.lit(f", expected {field.type}"))
     found = _finding(RETYPED, F.lit(field.path), F.lit(field.type), actual, details)
-    return F.when(~J.is_absent(value) & (actual != field.type), found)
+    return F.when(~_is_absent(actual) & (actual != field.type), found)
 
 
-def _out_of_domain(field: Field) -> Column:
+def _out_of_domain(contract: Contract, field: Field) -> Column:
     if field.allowed is None:
         return F.lit(None).cast(FINDING)
-    value = J.node(F.col(DOCUMENT), field.path)
-    text = J.as_text(value)
+    text = F.try_variant_get(F.col(DOCUMENT), f"$.{field.path}", "string")
     domain = sorted(field.allowed)
     details = F.concat(F.lit(f"field '{field.path}' has value '"), text, F.lit(f"' outside [{', '.join(domain)}]"))
     found = _finding(OUT_OF_DOMAIN, F.lit(field.path), F.lit("|".join(domain)), text, details)
-    return F.when(J.is_text(value) & ~text.isin(*domain), found)
+    return F.when((_type(contract, field) == "STRING") & ~text.isin(*domain), found)
 
 
-def _declared(field: Field) -> Column:
+def _declared(contract: Contract, field: Field) -> Column:
     """At most one finding per declared field: absent, else of another type, else outside its value set."""
-    return F.coalesce(_missing(field), _retyped(field), _out_of_domain(field))
+    return F.coalesce(_missing(contract, field), _retyped(contract, field), _out_of_domain(contract, field))
 
 
 def _added(contract: Contract, parent: str = "") -> Column:
@@ -98,7 +113,7 @@ def _added(contract: Contract, parent: str = "") -> Column:
 
     interesting = F.filter(names, lambda name: ~name.isin(*[f.name for f in declared if f.type != "OBJECT"]))
     return F.when(
-        J.json_type(value) == "OBJECT", F.flatten(F.transform(interesting, undeclared))
+        J.json_type_or_null(value) == "OBJECT", F.flatten(F.transform(interesting, undeclared))
     ).otherwise(F.array().cast(FINDINGS))
 
 
@@ -163,39 +178,44 @@ def drift_renamed(findings: Column) -> Column:
     return F.when((F.size(missing) > 0) & (F.size(added) > 0), collapsed).otherwise(findings)
 
 
-def drift_findings(records: DataFrame, contract: Contract) -> DataFrame:
-    """Add `findings`: declared findings in contract order, then added fields, renames collapsed last."""
-    declared = F.array_compact(F.array(*[_declared(f) for f in contract.fields]))
-    return (
-        with_document(records)
-        .withColumn("_raw_findings", F.concat(declared.cast(FINDINGS), _added(contract)))
-        .withColumn("findings", drift_renamed(F.col("_raw_findings")))
-        .drop("_raw_findings")
-    )
+def _check_fields(contract: Contract, check) -> Column:
+    return F.array_compact(F.array(*[check(contract, field) for field in contract.fields])).cast(FINDINGS)
+
+
+def drift_findings(records: DataFrame, contract: Contract, skip: Column | None = None) -> DataFrame:
+    """Add `findings`: declared findings in contract order, then added fields, renames collapsed last.
+
+    Skipped records are not looked at and have none.
+    """
+    found = F.concat(_check_fields(contract, _declared), _added(contract))
+    if skip is not None:
+        found = F.when(~skip, found).otherwise(F.array().cast(FINDINGS))
+    checked = with_types(records, contract).withColumn("_raw_findings", found)
+    return compute_once(checked, findings=drift_renamed(F.col("_raw_findings"))).drop("_raw_findings", TYPES)
 
 
-def _only(records: DataFrame, findings: Column) -> DataFrame:
-    return with_document(records).withColumn("findings", findings.cast(FINDINGS)).drop(DOCUMENT)
+def _only(records: DataFrame, contract: Contract, findings: Column) -> DataFrame:
+    return compute_once(with_types(records, contract), findings=findings).drop(DOCUMENT, TYPES)
 
 
 def drift_missing(records: DataFrame, contract: Contract) -> DataFrame:
     """Required fields absent or null, at any level, before renames are inferred."""
-    return _only(records, F.array_compact(F.array(*[_missing(f) for f in contract.fields])))
+    return _only(records, contract, _check_fields(contract, _missing))
 
 
 def drift_retyped(records: DataFrame, contract: Contract) -> DataFrame:
     """Declared fields present with another JSON type."""
-    return _only(records, F.array_compact(F.array(*[_retyped(f) for f in contract.fields])))
+    return _only(records, contract, _check_fields(contract, _retyped))
 
 
 def drift_out_of_domain(records: DataFrame, contract: Contract) -> DataFrame:
     """Text values outside a field's closed, case-sensitive value set."""
-    return _only(records, F.array_compact(F.array(*[_out_of_domain(f) for f in contract.fields])))
+    return _only(records, contract, _check_fields(contract, _out_of_domain))
 
 
 def drift_added(records: DataFrame, contract: Contract) -> DataFrame:
     """Fields the contract does not declare, before renames are inferred."""
-    return _only(records, _added(contract))
+    return _only(records, contract, _added(contract))
 
 
 def severity(kind: Column) -> Column:
@@ -241,12 +261,10 @@ def drift_route(records: DataFrame, contract: Contract, skip: Column | None = No
     findings. CONTINUE: no finding or only warnings.
     """
     skip = F.col("deleted") if skip is None else skip
-    checked = drift_findings(records, contract)
-    findings = F.when(skip, F.array().cast(FINDINGS)).otherwise(F.col("findings"))
+    checked = drift_findings(records, contract, skip)
     blocking = F.exists("findings", lambda f: f["kind"] != ADDED)
     return (
-        checked.withColumn("findings", findings)
-        .withColumn("drift_detected", F.size("findings") > 0)
+        checked.withColumn("drift_detected", F.size("findings") > 0)
         .withColumn(
             "route",
             F.when(skip, F.lit("BYPASS"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from feedweave.functions import json_values as J
 from feedweave.functions.money import is_decimal_text, to_minor_units
+from feedweave.functions.once import compute_once
 from feedweave.functions.text import is_blank, parse_instant, trim_text, wrap_to_int
 from feedweave.operators import validation as V
 from feedweave.operators.drift import DOCUMENT, with_document
@@ -24,76 +25,101 @@ ORDER_STATES = ("PENDING", "PAID", "SHIPPED", "DELIVERED", "CANCELLED")
 UNMAPPABLE, INVALID = "UNMAPPABLE", "INVALID"
 
 
+# How a field is read from the payload.
+TEXT, INSTANT, INTEGER, AMOUNT, LIST = "text", "instant", "integer", "amount", "list"
+
+
+def _alias(path: str) -> str:
+    return path.replace(".", "_")
+
+
+def _raw(document: Column, path: str, kind: str) -> Column:
+    """What stands in the payload, null where it is absent or of no use for this kind of read."""
+    node = J.node(document, path)
+    if kind in (TEXT, INSTANT):
+        return J.text_at(document, path)
+    if kind == INTEGER:
+        return F.when(F.schema_of_variant(node) == "BIGINT", F.try_variant_get(node, "$", "bigint"))
+    if kind == AMOUNT:
+        text = F.when(J.json_type_or_null(node).isin("STRING", "NUMBER"), J.number_text(node))
+        return F.when(is_decimal_text(text), text)
+    return F.struct(
+        J.json_type_or_null(node).alias("type"), F.try_variant_get(node, "$", "array<variant>").alias("items")
+    )
+
+
 class PayloadFields:
-    """Typed reads below one JSON object: each returns (value or placeholder, error or null)."""
+    """Typed reads below one JSON object: each returns (value or placeholder, error or null).
+
+    Reading goes in two steps, so that the payload is looked at once per field although values and errors are used
+    many times: `raw` makes the struct of raw fields, the typed reads work on a column that holds that struct.
+    """
 
-    def __init__(self, document: Column, prefix: Column | None = None):
-        self.document = document
+    def __init__(self, raw: Column, prefix: Column | None = None):
+        self.fields = raw
         self.prefix = prefix
 
+    @staticmethod
+    def raw(document: Column, **kinds: str | list[str]) -> Column:
+        return F.struct(
+            *[_raw(document, path, kind).alias(_alias(path)) for kind, paths in kinds.items() for path in paths]
+        )
+
+    def _get(self, path: str) -> Column:
+        return self.fields[_alias(path)]
+
     def _at(self, path: str) -> Column:
         return F.lit(path) if self.prefix is None else F.concat(self.prefix, F.lit(path))
 
     def _missing(self, path: str, expected: str) -> Column:
         return V.error(self._at(path), f"missing or not a {expected}")
 
-    def _node(self, path: str) -> Column:
-        return J.node(self.document, path)
-
     def optional_text(self, path: str) -> Column:
-        value = self._node(path)
-        return F.when(J.is_text(value), J.as_text(value))
+        return self._get(path)
 
     def text(self, path: str) -> tuple[Column, Column]:
-        value = self.optional_text(path)
+        value = self._get(path)
         return F.coalesce(value, F.lit("")), F.when(value.isNull(), self._missing(path, "text"))
 
     def instant(self, path: str) -> tuple[Column, Column]:
-        text = self.optional_text(path)
+        text = self._get(path)
         value = parse_instant(text)
         unreadable = V.error(self._at(path), F.concat(F.lit("is not an ISO-8601 timestamp: "), text))
         problem = F.when(text.isNull(), self._missing(path, "ISO-8601 timestamp")).when(value.isNull(), unreadable)
         return F.coalesce(value, F.timestamp_seconds(F.lit(0))), problem
 
     def integer(self, path: str) -> tuple[Column, Column]:
-        node = self._node(path)
-        value = F.when(F.schema_of_variant(node) == "BIGINT", wrap_to_int(F.try_variant_get(node, "$", "bigint")))
-        return F.coalesce(value, F.lit(0)), F.when(value.isNull(), self._missing(path, "integer"))
+        value = self._get(path)
+        return F.coalesce(wrap_to_int(value), F.lit(0)), F.when(value.isNull(), self._missing(path, "integer"))
 
     def minor_units(self, path: str) -> tuple[Column, Column]:
         """A decimal given as text or number, exactly in minor units."""
-        node = self._node(path)
-        kind = J.json_type(node)
-        text = F.when(kind.isin("STRING", "NUMBER"), J.number_text(node))
-        readable = is_decimal_text(text)
+        text = self._get(path)
         units, problem = to_minor_units(text)
         inexact = V.error(
             self._at(path),
             F.concat(F.lit("must have at most two decimal places and fit in minor units ("), problem, F.lit(")")),
         )
         return (
-            F.when(readable, units).otherwise(F.lit(0).cast("bigint")),
-            F.when(~readable, self._missing(path, "decimal")).when(problem.isNotNull(), inexact),
+            F.when(text.isNotNull(), units).otherwise(F.lit(0).cast("bigint")),
+            F.when(text.isNull(), self._missing(path, "decimal")).when(problem.isNotNull(), inexact),
         )
 
     def text_list(self, path: str) -> tuple[Column, Column]:
-        node = self._node(path)
-        items = F.transform(F.try_variant_get(node, "$", "array<variant>"), J.scalar_text)
-        listed = J.json_type(node) == "ARRAY"
-        problem = F.when(~J.is_absent(node) & ~listed, V.error(self._at(path), "must be an array"))
-        return F.when(listed, items).otherwise(F.array().cast("array<string>")), problem
+        kind, items = self._get(path)["type"], self._get(path)["items"]
+        absent = kind.isNull() | (kind == J.NULL)
+        problem = F.when(~absent & (kind != "ARRAY"), V.error(self._at(path), "must be an array"))
+        texts = F.when(kind == "ARRAY", F.transform(items, J.scalar_text))
+        return F.coalesce(texts, F.array().cast("array<string>")), problem
 
     def objects(self, path: str) -> tuple[Column, Column]:
-        node = self._node(path)
-        listed = F.coalesce(J.json_type(node) == "ARRAY", F.lit(False))
-        return (
-            F.when(listed, F.try_variant_get(node, "$", "array<variant>")),
-            F.when(~listed, self._missing(path, "array")),
-        )
+        kind, items = self._get(path)["type"], self._get(path)["items"]
+        listed = F.coalesce(kind == "ARRAY", F.lit(False))
+        return F.when(listed, items), F.when(~listed, self._missing(path, "array"))
 
     def choice(self, path: str, values: tuple[str, ...]) -> tuple[Column, Column]:
         """One of a closed set, whatever its case."""
-        text = self.optional_text(path)
+        text = self._get(path)
         value = F.when(F.upper(text).isin(*values), F.upper(text))
         message = F.concat(
             F.lit(f"must be one of {', '.join(values)} (was '"), F.coalesce(text, F.lit("null")), F.lit("')")
@@ -103,18 +129,22 @@ class PayloadFields:
 
 def _verdict(records: DataFrame, skip: Column, unreadable: Column, violations: Column) -> DataFrame:
     """Decide between mapped, UNMAPPABLE and INVALID; skipped records have neither a record nor a failure."""
+    problems = records.withColumn("_unreadable", unreadable).withColumn("_violations", violations)
     kind = (
         F.when(skip, F.lit(None).cast("string"))
-        .when(F.size(unreadable) > 0, F.lit(UNMAPPABLE))
-        .when(F.size(violations) > 0, F.lit(INVALID))
+        .when(F.size("_unreadable") > 0, F.lit(UNMAPPABLE))
+        .when(F.size("_violations") > 0, F.lit(INVALID))
     )
-    errors = F.when(kind == UNMAPPABLE, unreadable).when(kind == INVALID, violations)
-    return (
-        records.withColumn("failure_kind", kind)
-        .withColumn("errors", F.coalesce(errors, V.no_errors()))
-        .withColumn("canonical", F.when(~skip & kind.isNull(), F.col("_read.record")))
-        .drop("_read", "_lines", DOCUMENT)
+    verdict = problems.withColumn("_kind", kind)
+    errors = F.when(F.col("_kind") == UNMAPPABLE, F.col("_unreadable")).when(
+        F.col("_kind") == INVALID, F.col("_violations")
     )
+    return compute_once(
+        verdict,
+        failure_kind=F.col("_kind"),
+        errors=F.coalesce(errors, V.no_errors()),
+        canonical=F.when(~skip & F.col("_kind").isNull(), F.col("_read.record")),
+    ).drop("_unreadable", "_violations", "_kind", "_broken", "_raw", "_read", "_lines", DOCUMENT)
 
 
 def _then(first: Column, second: Column, clean: Column) -> Column:
@@ -128,7 +158,24 @@ def map_customer(records: DataFrame, skip: Column | None = None) -> DataFrame:
     Payloads of skipped records (tombstones unless told otherwise) are not read.
     """
     skip = F.col("deleted") if skip is None else skip
-    read = PayloadFields(F.col(DOCUMENT))
+    raw = PayloadFields.raw(
+        F.col(DOCUMENT),
+        text=[
+            "address.line1",
+            "address.line2",
+            "email",
+            "firstName",
+            "lastName",
+            "status",
+            "tier",
+            "address.city",
+            "address.postalCode",
+            "address.country",
+        ],
+        list=["tags"],
+        instant=["createdAt", "updatedAt"],
+    )
+    read = PayloadFields(F.col("_raw"))
     line1, line1_error = read.text("address.line1")
     line2 = read.optional_text("address.line2")
     email, email_error = read.text("email")
@@ -173,22 +220,23 @@ def map_customer(records: DataFrame, skip: Column | None = None) -> DataFrame:
         country_error,
     )
     after_address = V.collect(tags_error, created_error, updated_error)
-    parsed = with_document(records).withColumn(
+    parsed = with_document(records).withColumn("_raw", F.when(~skip, raw)).withColumn(
         "_read",
         F.when(
             ~skip,
             F.struct(record.alias("record"), upto_address.alias("first"), after_address.alias("rest")),
         ),
     )
-    address_broken = V.validate_address(F.col("_read.record.address"))
+    parsed = parsed.withColumn("_broken", V.validate_address(F.col("_read.record.address")))
+    address_broken = F.col("_broken")
     sound_address = F.size(address_broken) == 0
     unreadable = _then(F.col("_read.first"), F.col("_read.rest"), sound_address)
     violations = F.when(sound_address, V.validate_customer(F.col("_read.record"))).otherwise(address_broken)
     return _verdict(parsed, skip, unreadable, violations)
 
 
-def _order_line(element: Column, index: Column) -> Column:
-    read = PayloadFields(element, F.concat(F.lit("lines["), index.cast("string"), F.lit("].")))
+def _order_line(raw: Column, index: Column) -> Column:
+    read = PayloadFields(raw, F.concat(F.lit("lines["), index.cast("string"), F.lit("].")))
     sku, sku_error = read.text("sku")
     quantity, quantity_error = read.integer("quantity")
     price, price_error = read.minor_units("unitPrice")
@@ -201,7 +249,14 @@ def _order_line(element: Column, index: Column) -> Column:
 def map_order(records: DataFrame, skip: Column | None = None) -> DataFrame:
     """Order payloads to canonical orders: adds `canonical`, `failure_kind` and `errors`."""
     skip = F.col("deleted") if skip is None else skip
-    read = PayloadFields(F.col(DOCUMENT))
+    raw = PayloadFields.raw(
+        F.col(DOCUMENT),
+        text=["customerId", "status", "total.currency"],
+        amount=["total.amount"],
+        list=["lines"],
+        instant=["placedAt", "updatedAt"],
+    )
+    read = PayloadFields(F.col("_raw"))
     customer, customer_error = read.text("customerId")
     state, state_error = read.choice("status", ORDER_STATES)
     amount, amount_error = read.minor_units("total.amount")
@@ -209,8 +264,13 @@ def map_order(records: DataFrame, skip: Column | None = None) -> DataFrame:
     elements, lines_error = read.objects("lines")
     placed, placed_error = read.instant("placedAt")
     updated, updated_error = read.instant("updatedAt")
-    parsed = with_document(records).withColumn(
-        "_lines", F.when(~skip, F.coalesce(F.transform(elements, _order_line), F.array()))
+    raw_lines = F.transform(
+        elements, lambda e: PayloadFields.raw(e, text=["sku"], integer=["quantity"], amount=["unitPrice"])
+    )
+    parsed = (
+        with_document(records)
+        .withColumn("_raw", F.when(~skip, raw))
+        .withColumn("_lines", F.when(~skip, F.coalesce(F.transform(raw_lines, _order_line), F.array())))
     )
     lines = F.transform("_lines", lambda item: item["line"])
     record = F.struct(
@@ -238,7 +298,8 @@ def map_order(records: DataFrame, skip: Column | None = None) -> DataFrame:
         ),
     )
     money = F.col("_read.record.total")
-    money_broken = V.validate_money(money["amount_minor"], money["currency"])
+    parsed = parsed.withColumn("_broken", V.validate_money(money["amount_minor"], money["currency"]))
+    money_broken = F.col("_broken")
     sound_money = F.size(money_broken) == 0
     failing = F.col("_read.failing_line")
     sound_lines = failing == 0

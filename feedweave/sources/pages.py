@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedweave.functions import json_values as J
+from feedweave.functions.once import compute_once
 from feedweave.functions.text import is_blank, parse_instant
 
 # Arrival numbers leave room for this many records in one page.
@@ -20,13 +21,11 @@ def _flag(document: Column, path: str) -> Column:
     return J.as_flag(J.node(document, path))
 
 
-def _text(document: Column, path: str) -> Column:
-    value = J.node(document, path)
-    return F.when(J.is_text(value), J.as_text(value))
+_text = J.text_at
 
 
 def _page_failure(message: str) -> Column:
-    return F.raise_error(F.concat(F.lit(f"page "), F.col("page_no").cast("string"), F.lit(f": {message}")))
+    return F.raise_error(F.concat(F.lit("page "), F.col("page_no").cast("string"), F.lit(f": {message}")))
 
 
 def envelope_pages(pages: DataFrame) -> DataFrame:
@@ -34,12 +33,12 @@ def envelope_pages(pages: DataFrame) -> DataFrame:
     parsed = pages.withColumn("_doc", J.parse(F.col("body")))
     listed = J.json_type(J.node(F.col("_doc"), "items")) == "ARRAY"
     items = F.from_json("body", "items array<string>")["items"]
-    return parsed.select(
-        "page_no",
-        F.when(listed, items).otherwise(_page_failure("no items array").cast("array<string>")).alias("items"),
-        _text(F.col("_doc"), "nextCursor").alias("next_cursor"),
-        _flag(F.col("_doc"), "hasMore").alias("has_more"),
-    )
+    return compute_once(
+        parsed,
+        items=F.when(listed, items).otherwise(_page_failure("no items array").cast("array<string>")),
+        next_cursor=_text(F.col("_doc"), "nextCursor"),
+        has_more=_flag(F.col("_doc"), "hasMore"),
+    ).select("page_no", "items", "next_cursor", "has_more")
 
 
 def connection_pages(pages: DataFrame) -> DataFrame:
@@ -51,15 +50,14 @@ def connection_pages(pages: DataFrame) -> DataFrame:
     listed = J.json_type(J.node(doc, "data.orders.edges")) == "ARRAY"
     shape = "data struct<orders: struct<edges: array<struct<node: string>>>>"
     nodes = F.transform(F.from_json("body", shape)["data"]["orders"]["edges"], lambda edge: edge["node"])
-    return parsed.select(
-        "page_no",
-        F.when(failed, _page_failure("the source reported errors").cast("array<string>"))
+    return compute_once(
+        parsed,
+        items=F.when(failed, _page_failure("the source reported errors").cast("array<string>"))
         .when(listed, nodes)
-        .otherwise(_page_failure("no edges").cast("array<string>"))
-        .alias("items"),
-        _text(doc, "data.orders.pageInfo.endCursor").alias("next_cursor"),
-        _flag(doc, "data.orders.pageInfo.hasNextPage").alias("has_more"),
-    )
+        .otherwise(_page_failure("no edges").cast("array<string>")),
+        next_cursor=_text(doc, "data.orders.pageInfo.endCursor"),
+        has_more=_flag(doc, "data.orders.pageInfo.hasNextPage"),
+    ).select("page_no", "items", "next_cursor", "has_more")
 
 
 def bounded_pages(page_facts: DataFrame, max_pages: int) -> DataFrame:
@@ -76,21 +74,31 @@ def bounded_pages(page_facts: DataFrame, max_pages: int) -> DataFrame:
 
 def page_records(page_facts: DataFrame, feed: str) -> DataFrame:
     """One row per item with the lifted fields; `trackable` tells whether key and clock could be lifted."""
-    items = page_facts.select("page_no", F.posexplode("items").alias("_pos", "payload"))
+    # The outer form: for the inner one Spark adds a filter that would parse every page body a second time.
+    items = page_facts.select("page_no", F.posexplode_outer("items").alias("_pos", "payload")).where(
+        F.col("_pos").isNotNull()
+    )
     doc = F.col("_doc")
-    key = _text(doc, "id")
-    clock = parse_instant(_text(doc, "updatedAt"))
-    return (
+    lifted = (
         items.withColumn("_doc", J.parse(F.col("payload")))
-        .select(
-            F.lit(feed).alias("feed"),
-            key.alias("business_key"),
-            clock.alias("source_updated_at"),
-            _flag(doc, "deleted").alias("deleted"),
-            "payload",
-            (F.col("page_no") * PAGE_STRIDE + F.col("_pos")).cast("bigint").alias("arrival_seq"),
-        )
-        .withColumn("trackable", ~is_blank(F.col("business_key")) & F.col("source_updated_at").isNotNull())
+        .withColumn("_key", _text(doc, "id"))
+        .withColumn("_stamp", _text(doc, "updatedAt"))
+        .withColumn("_clock", parse_instant(F.col("_stamp")))
+    )
+    return compute_once(
+        lifted,
+        business_key=F.col("_key"),
+        source_updated_at=F.col("_clock"),
+        deleted=_flag(doc, "deleted"),
+        trackable=~is_blank(F.col("_key")) & F.col("_clock").isNotNull(),
+    ).select(
+        F.lit(feed).alias("feed"),
+        "business_key",
+        "source_updated_at",
+        "deleted",
+        "payload",
+        (F.col("page_no") * PAGE_STRIDE + F.col("_pos")).cast("bigint").alias("arrival_seq"),
+        "trackable",
     )
 
 

@@ -15,4 +15,7 @@ SCHEMAS = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return pin_session(spark).read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+    """A table, spread over the cores when its file is too small to be split: parsing JSON is work for all of them."""
+    df = pin_session(spark).read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 8) else df
