@@ -24,6 +24,8 @@ def local_session(name: str, cores: int | str = "*", shuffle_partitions: int = 8
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
+        # Call sites of every column expression are not needed, and recording them makes wide checks slow to build.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)

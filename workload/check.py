@@ -42,8 +42,10 @@ def rows_of(columns, rows):
 
 
 def compare(spark, connection, sf_dir, query, sql):
+    start = time.time()
     frame = query(spark, sf_dir)
     names, got = rows_of(frame.columns, [tuple(r) for r in frame.collect()])
+    print(f"spark {time.time() - start:.1f}s {len(got)} rows", end=" ")
     cursor = connection.execute(sql)
     expected_names, expected = rows_of([d[0] for d in cursor.description], cursor.fetchall())
     if names != expected_names:
