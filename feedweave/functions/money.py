@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 DECIMAL_TEXT = r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]{1,9})?\z"
 # Amounts as they nearly always come; these need no digit work.
-PLAIN = r"\A-?[0-9]{1,15}(\.[0-9]{1,2})?\z"
+PLAIN = r"\A-?[0-9]{1,15}(\.[0-9]{1,2}0{0,20})?\z"
 ROUNDING = "Rounding necessary"
 OVERFLOW = "Overflow"
 
@@ -24,7 +24,8 @@ def to_minor_units(text: Column) -> tuple[Column, Column]:
     """
     whole = F.regexp_extract(text, r"\A[+-]?([0-9]*)", 1)
     fraction = F.regexp_extract(text, r"\.([0-9]*)", 1)
-    exponent = F.coalesce(F.regexp_extract(text, r"[eE]([+-]?[0-9]+)\z", 1).try_cast("int"), F.lit(0))
+    exponent_text = F.regexp_extract(text, r"[eE]([+-]?[0-9]{1,9})\z", 1)
+    exponent = F.when(exponent_text != "", exponent_text.cast("int")).otherwise(F.lit(0))
     digits = F.regexp_replace(F.concat(whole, fraction), r"\A0+(?=[0-9])", "")
     shift = F.lit(2) + exponent - F.length(fraction)
     is_zero = digits.rlike(r"\A0*\z")

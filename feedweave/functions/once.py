@@ -14,6 +14,9 @@ def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
     Filters do not move below a generator, so the columns go through one that gives exactly one row. Filters on other
     columns still reach the scan.
     """
-    packed = F.explode_outer(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
+    # The columns are computed in a projection, which is compiled, and not inside the generator.
+    packed = df.withColumn("_packed", F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
     kept = [c for c in df.columns if c not in columns]
-    return df.select("*", packed.alias("_once")).select(*kept, *[F.col(f"_once.{n}").alias(n) for n in columns])
+    return packed.select(*kept, F.explode_outer("_packed").alias("_once")).select(
+        *kept, *[F.col(f"_once.{n}").alias(n) for n in columns]
+    )

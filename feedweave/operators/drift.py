@@ -92,7 +92,29 @@ def _declared(contract: Contract, field: Field) -> Column:
     return F.coalesce(_missing(contract, field), _retyped(contract, field), _out_of_domain(contract, field))
 
 
-def _added(contract: Contract, parent: str = "") -> Column:
+def _is_complete(contract: Contract) -> Column:
+    """Whether the contract declares every field there is: the usual case, told without walking the payload."""
+
+    def surplus(parent: str) -> Column:
+        if parent:
+            names = F.map_keys(F.try_variant_get(F.col(DOCUMENT), f"$.{parent}", "map<string,variant>"))
+        else:
+            names = F.json_object_keys("payload")
+        declared = F.array(*[F.lit(field.name) for field in contract.children(parent)])
+        return F.coalesce(F.size(F.array_except(names, declared)), F.lit(0))
+
+    complete = surplus("") == 0
+    for field in contract.fields:
+        if field.type == "OBJECT":
+            complete = complete & (surplus(field.path) == 0)
+    return complete
+
+
+def _added(contract: Contract) -> Column:
+    return F.when(_is_complete(contract), F.array().cast(FINDINGS)).otherwise(_undeclared(contract))
+
+
+def _undeclared(contract: Contract, parent: str = "") -> Column:
     """Undeclared fields of an object in payload order, going down into declared objects where they stand."""
     prefix = f"{parent}." if parent else ""
     value = J.node(F.col(DOCUMENT), parent)
@@ -108,7 +130,7 @@ def _added(contract: Contract, parent: str = "") -> Column:
         finding = _finding(ADDED, path, F.lit(None), J.json_type(members[name]), details)
         found = F.when(~name.isin(*[f.name for f in declared]), F.array(finding))
         for child in objects:
-            found = found.when(name == child.name, _added(contract, child.path))
+            found = found.when(name == child.name, _undeclared(contract, child.path))
         return found.otherwise(F.array().cast(FINDINGS))
 
     interesting = F.filter(names, lambda name: ~name.isin(*[f.name for f in declared if f.type != "OBJECT"]))
