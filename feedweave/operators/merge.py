@@ -1,7 +1,6 @@
 """Idempotent keyed merge: last version wins, every change gets an outcome.
 
-The reference point is a fold over the changes of a key in arrival order. Here the fold is a few running values per
-key, all on one shuffle by key: stored rows join the changes by being the first row of their key (arrival number -1),
+What is meant is a fold over the changes of a key in arrival order. Here the fold is a few running values per key, all on one shuffle by key: stored rows join the changes by being the first row of their key (arrival number -1),
 not by a join. Late changes are recognised by the highest clock before them; what a change does is decided by the
 change that took effect just before it.
 

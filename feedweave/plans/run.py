@@ -42,28 +42,32 @@ class FeedRunner:
         self.spark = store.spark
 
     def records_of(self, pages: DataFrame, max_pages: int | None = MAX_PAGES) -> DataFrame:
-        """Landed pages (page_no, body) of one read as feed records."""
+        """Landed pages (page_no, body) of one read as feed records.
+
+        Kept, since a run looks at its records more than once and the page bodies should be parsed once.
+        """
         facts = self.spec.read_pages(pages)
         if max_pages is not None:
             facts = bounded_pages(facts, max_pages)
-        return require_trackable(page_records(facts, self.spec.name))
+        return materialize(require_trackable(page_records(facts, self.spec.name)))
 
     def run_incremental(
         self,
         feed: DataFrame,
         trigger: str = SCHEDULED,
         overlap: timedelta = DEFAULT_OVERLAP,
-        batch_id: int | None = None,
     ) -> dict:
         """Read from watermark - overlap on, process, and move the watermark forward."""
         mark = read_watermark(self.store.read_set("watermark"), self.spec.name)
         run = self._start(INCREMENTAL, trigger, mark)
-        return self._execute(run, lambda: incremental_window(feed, mark, overlap), batch_id=batch_id)
+        return self._execute(run, lambda: incremental_window(feed, mark, overlap))
 
-    def run_batch(self, feed: DataFrame, batch_id: int, trigger: str = SCHEDULED) -> dict:
-        """One batch of a stream, which already is the part of the feed to process."""
+    def run_pages(self, pages: DataFrame, batch_id: int | None = None, trigger: str = SCHEDULED) -> dict:
+        """Process landed pages, which already are the part of the feed to process; as one batch of a stream or alone."""
         mark = read_watermark(self.store.read_set("watermark"), self.spec.name)
-        return self._execute(self._start(INCREMENTAL, trigger, mark), lambda: feed, batch_id=batch_id)
+        bound = MAX_PAGES if batch_id is None else None
+        run = self._start(INCREMENTAL, trigger, mark)
+        return self._execute(run, lambda: self.records_of(pages, bound), batch_id=batch_id)
 
     def run_backfill(self, feed: DataFrame, start: datetime, end: datetime, trigger: str = MANUAL) -> dict:
         """Read (start, end] again; the watermark does not move."""

@@ -24,6 +24,8 @@ def local_session(name: str, cores: int | str = "*", shuffle_partitions: int = 8
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
+        # Checkpoints nobody refers to any more are deleted.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # Call sites of every column expression are not needed, and recording them makes wide checks slow to build.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
@@ -45,9 +47,14 @@ def materialize(df: DataFrame) -> DataFrame:
     Executors may be lost at any time, so the copy lives in shared storage, never on an executor. Only where
     the session names no folder (tests) one next to the warehouse is used.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate results, set up for checkpoints if it was not."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from feedweave.plans.run import FeedRunner
 from feedweave.operators.runs import FAILED
+from feedweave.plans.run import FeedRunner
 
 PAGE = "page_no bigint, body string"
 
@@ -27,7 +27,7 @@ def follow_feed(runner: FeedRunner, pages: DataFrame, checkpoint: str) -> Stream
     def apply(batch: DataFrame, batch_id: int) -> None:
         if runner.store.has_batch(batch_id):
             return
-        run = runner.run_batch(runner.records_of(batch, max_pages=None), batch_id)
+        run = runner.run_pages(batch, batch_id)
         if run["status"] == FAILED:
             raise RuntimeError(f"run {run['run_id']} failed: {run['error_message']}")
 

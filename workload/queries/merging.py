@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedweave.feeds import Destination
 from feedweave.operators import merge as M
 from feedweave.operators.dedup import dedup_in_run as dedup
-from feedweave.session import materialize
+from feedweave.session import materialize, shared_folder
+from feedweave.sinks.store import FeedStore
+from feedweave.sinks.store import merge_sink as sink
 from workload.derived import derived, derived_sql
 
 SPLIT = "2024-01-15 12:00:00"
@@ -78,7 +84,23 @@ def merge_before_after(spark, sf_dir):
 
 
 def merged_state(spark, sf_dir):
-    state = M.state_of(second_run(spark, sf_dir))
+    return _state(M.state_of(second_run(spark, sf_dir)))
+
+
+def merge_sink(spark, sf_dir):
+    """The destination written in two runs, bucket by bucket, and read back."""
+    spec = SimpleNamespace(name="events", destination=Destination("userKey", {"event_type": ("string", 20, "eventType")}))
+    store = FeedStore(spark, f"{shared_folder(spark)}/{uuid4()}", spec, buckets=8)
+    changes = event_changes(spark, sf_dir)
+    second = F.col("source_updated_at") > _at(SPLIT)
+    for run_no, (part, at) in enumerate([(changes.where(~second), RUN_1_AT), (changes.where(second), RUN_2_AT)], 1):
+        last = store.last_commit()
+        state = M.merged_state(part, store.read_state(store.touched(part), last), _at(at))
+        store.commit(last, run_no, f"run-{run_no}", None, [], sink(store, state, part, run_no))
+    return _state(store.read_state())
+
+
+def _state(state: DataFrame) -> DataFrame:
     return state.select(
         "business_key",
         "event_type",
@@ -176,6 +198,7 @@ QUERIES = {
     "merge_resurrect": _filtered(M.merge_resurrect),
     "merge_before_after": merge_before_after,
     "merged_state": merged_state,
+    "merge_sink": merge_sink,
     "active_records": active_records,
 }
 ORACLES = {
@@ -205,3 +228,4 @@ ORACLES = {
     "active_records": f"""{FOLD} SELECT 'events' AS feed, count(*) AS active_records
         FROM ({LAST}) AS final WHERE present AND deleted_at IS NULL""",
 }
+ORACLES["merge_sink"] = ORACLES["merged_state"]
