@@ -191,14 +191,20 @@ def consume_if_newer(events: DataFrame, held: DataFrame | None = None, limit: in
     `events` arrive in `delivery_seq` order. `held` (feed, business_key, version) is what the consumer already has.
     """
     keys = ["feed", "business_key"]
+    rows = events.withColumn("_is_held", F.lit(False))
     if held is not None:
-        events = events.join(held.select(*keys, F.col("version").alias("_held")), keys, "left")
-    else:
-        events = events.withColumn("_held", F.lit(None).cast("int"))
+        # What the consumer holds comes first in order; no join, so a key with very many events stays splittable.
+        first = held.select(
+            *keys,
+            F.col("version").cast(events.schema["version"].dataType).alias("version"),
+            F.lit(-1).cast("bigint").alias("delivery_seq"),
+            F.lit(True).alias("_is_held"),
+        )
+        rows = rows.unionByName(first, allowMissingColumns=True)
 
     def body(walk, rows: DataFrame) -> DataFrame:
         rows = walk.before(rows, _seen=highest(F.col("version")))
-        newest = F.coalesce(F.greatest("_seen", "_held"), F.lit(-1))
-        return rows.where(F.col("version") > newest).drop("_seen", "_held")
+        newer = F.col("_seen").isNull() | (F.col("version") > F.col("_seen"))
+        return rows.where(~F.col("_is_held") & newer).drop("_seen", "_is_held")
 
-    return walk_keys(events, keys, "delivery_seq", body, limit)
+    return walk_keys(rows, keys, "delivery_seq", body, limit)
