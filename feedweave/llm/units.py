@@ -30,7 +30,7 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, kept for the life of the worker."""
     global _powers, _inverse_powers
     if len(_powers) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         steps = np.full(size, U64(_BASE))
         steps[0] = 1
         _powers = np.multiply.accumulate(steps)
@@ -66,7 +66,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most_bytes` of text, so that a task's memory does not follow the batch size.
 
     A single longer text stays whole.
