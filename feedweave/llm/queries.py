@@ -4,8 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedweave.llm import substring_dedup, suffix_dedup
+from feedweave.llm import (
+    minhash_dedup,
+    mixing,
+    sharding,
+    substring_dedup,
+    suffix_dedup,
+    token_counts,
+)
 from feedweave.llm.common import table
+from feedweave.llm.oracles import ORACLES  # noqa: F401
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,5 +26,31 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove_repeated_words(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_substring_dedup)}
-ORACLES: dict[str, str] = {}
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.mark_near_duplicates(table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_suffix_dedup,
+        op2_substring_dedup,
+        op4_sharding,
+        op5_token_counts,
+        op7_minhash_dedup,
+        op9_mixing,
+    )
+}
