@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from feedweave.llm import (
+    decontamination,
     minhash_dedup,
     mixing,
+    neighbours,
+    quality,
     sharding,
     substring_dedup,
     suffix_dedup,
     token_counts,
+    warc,
 )
 from feedweave.llm.common import table
 from feedweave.llm.oracles import ORACLES  # noqa: F401
@@ -26,6 +31,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove_repeated_words(docs))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score_quality(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
@@ -34,23 +45,42 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = decontamination.mark_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return marked.select("doc_id", F.inline("matches"))
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.mark_near_duplicates(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(spark, table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_dedup,
         op2_substring_dedup,
+        op3_quality,
         op4_sharding,
         op5_token_counts,
+        op6_decontamination,
         op7_minhash_dedup,
+        op8_warc,
         op9_mixing,
+        op10_neighbours,
     )
 }

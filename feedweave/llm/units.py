@@ -21,6 +21,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+PUNCTUATION = np.array([bytes([b]).isalnum() is False and b < 128 for b in range(256)]) | _SPACE
 
 _powers = np.ones(1, dtype=U64)
 _inverse_powers = np.ones(1, dtype=U64)
@@ -105,11 +106,11 @@ def byte_codes(data: np.ndarray) -> np.ndarray:
 class Words:
     """The words of texts: runs of bytes other than ASCII white space.
 
-    `codes` has each word's fingerprint, `offsets` the first word of each text, `start` and `stop` the words' bytes.
+    `breaks` may name other bytes that end a word. `codes` has each word's fingerprint, `offsets` the first word of each text, `start` and `stop` the words' bytes.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
-        inside = ~_SPACE[data]
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, breaks: np.ndarray = _SPACE):
+        inside = ~breaks[data]
         begins = inside.copy()
         begins[1:] &= ~inside[:-1]
         text_starts = offsets[:-1][np.diff(offsets) > 0]
