@@ -30,9 +30,9 @@ from feedweave.llm.common import column, ints, stored
 
 SAMPLE = 20_000
 BRANCHES = 8
-LEAF_SAMPLE = 48
+LEAVES = 128
 CALIBRATION = 64
-RECALL = 0.97
+RECALL = 0.95
 NEAREST = 20
 QUERY_EVERY = 20
 BLOCK = 8192
@@ -185,7 +185,7 @@ def nearest(
     query_every: int = QUERY_EVERY,
     sample: int = SAMPLE,
     branches: int = BRANCHES,
-    leaf_sample: int = LEAF_SAMPLE,
+    leaves: int = LEAVES,
     calibration: int = CALIBRATION,
     recall: float = RECALL,
     block: int = BLOCK,
@@ -205,7 +205,7 @@ def nearest(
     longest = float(rows.agg(F.max(squares)).first()[0]) ** 0.5 * (1 + 1e-9)
     # Bounded by the parameters, whatever the size of the table.
     fitted = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
-    tree = Tree(_raised(_matrix(fitted.column("v").combine_chunks(), size), longest), branches, leaf_sample)
+    tree = Tree(_raised(_matrix(fitted.column("v").combine_chunks(), size), longest), branches, max(1, fitted.num_rows // leaves))
     shared = spark.sparkContext.broadcast(tree)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -93,7 +93,7 @@ def brute_nearest(rows, k, every):
 def test_search_of_all_leaves_is_exact(spark):
     rows = vectors()
     docs = spark.createDataFrame(rows, VECTORS).repartition(3)
-    got = neighbours.nearest(docs, k=7, sample=300, leaf_sample=10, recall=2.0, block=64).collect()
+    got = neighbours.nearest(docs, k=7, sample=300, leaves=30, recall=2.0, block=64).collect()
     expected = brute_nearest(rows, 7, 20)
     by = {}
     for r in sorted(got, key=lambda r: r["rank"]):
@@ -107,7 +107,7 @@ def test_search_of_all_leaves_is_exact(spark):
 def test_calibrated_recall(spark):
     rows = vectors(3000, 0)
     docs = spark.createDataFrame(rows, VECTORS)
-    got = neighbours.nearest(docs, k=10, sample=1500, leaf_sample=20).collect()
+    got = neighbours.nearest(docs, k=10, sample=1500, leaves=75).collect()
     expected = brute_nearest(rows, 10, 20)
     found = {}
     for r in got:
