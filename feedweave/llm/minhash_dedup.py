@@ -7,10 +7,13 @@ independent ones. Signatures are banded: 48 bands of 5 values miss a pair of sim
 Documents with equal shingle sets form a class and are represented by one text. Inside a band's bucket no pairs are
 written out; classes are linked in rounds, and every link is confirmed on the full sets:
 
-1. each class with the smallest of the leaders of its buckets: one pair for each class;
-2. in buckets that still hold several components, one pair for each component;
-3. in buckets that still hold several components after that, every pair of different components, so that no link is
-   lost. Few are left, since members of a group of copies are one component by then.
+1. each class with the most popular class that it shares a bucket with: its centre. The original of a group of copies
+   is more popular than the copies, which are nearer to it than to each other. One pair for each class;
+2. where the classes of one centre are still several components, blocks of them against blocks: a task counts common
+   shingles of two blocks as one matrix product and returns confirmed links only;
+3. classes of different centres that share a bucket and are still in different components: every such pair.
+
+So no link is lost and none is looked for twice inside a component.
 
 A set: distinct runs of five words, A-Z in lower case; with fewer words the whole sequence; no words (null and empty
 texts too): empty, linked with nothing. Documents without doc_id take part, but name no component; a component of such
@@ -35,6 +38,7 @@ SHINGLE = 5
 BANDS = 48
 ROWS = 5
 PERCENT = 75
+BLOCK = 512
 RESULTS = ("n_shingles", "component_id", "kept")
 
 
@@ -140,6 +144,75 @@ def _pairs(df: DataFrame, percent: int) -> DataFrame:
     return df.where(fit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _cross_links(percent: int, size: int):
+    def links(group: pa.Table) -> pa.Table:
+        """Confirmed links between the left and the right block, one for each two components."""
+        sets = Shingles(group.column("text"), size)
+        root, key, side = (ints(group.column(n)) for n in ("root", "key", "side"))
+        n = np.diff(sets.offsets)
+        shingle, code = np.unique(sets.values, return_inverse=True)
+        here = np.zeros((2, len(shingle)), dtype=bool)
+        sides = side[sets.owners]
+        for s in (0, 1):
+            here[s, code[sides != 1 - s]] = True
+        both = here.all(axis=0)
+        used = np.cumsum(both) - 1
+        keep = both[code]
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        common = np.zeros((len(left), len(right)), dtype=np.float32)
+        at = [np.full(len(side), -1), np.full(len(side), -1)]
+        at[0][left], at[1][right] = np.arange(len(left)), np.arange(len(right))
+        step = 1 << 13
+        for low in range(0, int(both.sum()), step):
+            blocks = []
+            for s, rows in ((0, left), (1, right)):
+                of = keep & (at[s][sets.owners] >= 0)
+                column_ = used[code[of]]
+                now = (column_ >= low) & (column_ < low + step)
+                dense = np.zeros((len(rows), min(step, int(both.sum()) - low)), dtype=np.float32)
+                dense[at[s][sets.owners[of][now]], column_[now] - low] = 1
+                blocks.append(dense)
+            common += blocks[0] @ blocks[1].T
+        union = n[left][:, None] + n[right][None, :] - common
+        near = (100 * common.astype(np.float64) >= percent * union) & (root[left][:, None] != root[right][None, :])
+        i, j = np.nonzero(near)
+        pairs = np.stack([np.minimum(root[left[i]], root[right[j]]), np.maximum(root[left[i]], root[right[j]])], axis=1)
+        _, first = np.unique(pairs, axis=0, return_index=True) if len(pairs) else (None, np.empty(0, dtype=np.int64))
+        a, b = key[left[i[first]]], key[right[j[first]]]
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return links
+
+
+def _within_centres(rooted: DataFrame, found: DataFrame, percent: int, size: int, block: int = BLOCK) -> DataFrame:
+    """Links among the classes of one centre that are in several components.
+
+    A group of m classes becomes m / block blocks, and each pair of blocks is a task of its own: no task holds more than
+    two blocks, and a class is sent m / block times.
+    """
+    several = (
+        rooted.groupBy("centre")
+        .agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("_low"), F.max("root").alias("_high"))
+        .where("_low <> _high")
+        .select("centre", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
+    )
+    mine = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    members = rooted.join(several, "centre").withColumn("mine", mine)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = members.select("centre", "key", "root", "mine", other).select(
+        "centre",
+        F.least("mine", "other").alias("low"),
+        F.greatest("mine", "other").alias("high"),
+        "key",
+        "root",
+        F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
+    )
+    return stored(
+        dealt.join(found, "key").groupBy("centre", "low", "high").applyInArrow(_cross_links(percent, size), "a bigint, b bigint"),
+        "within",
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     text: str = "text",
@@ -166,10 +239,12 @@ def near_duplicates(
     documents = signed_docs.select("doc", "text_key", "key", "n")
     banded = signed_docs.select(F.explode("bands").alias("band"), "key", "n")
     shared = (
-        banded.groupBy("band").agg(F.min("key").alias("lead"), F.max("key").alias("_most")).where("lead <> _most")
+        banded.groupBy("band")
+        .agg(F.min("key").alias("_least"), F.max("key").alias("_most"), F.count(F.lit(1)).alias("size"))
+        .where("_least <> _most")
     )
     # Members of buckets that hold more than one class.
-    buckets = stored(banded.join(shared.select("band", "lead"), "band").distinct(), "buckets")
+    buckets = stored(banded.join(shared.select("band", "size"), "band").distinct(), "buckets")
     wanted = buckets.select("key").distinct()
     chosen = documents.join(wanted, "key").groupBy("key").agg(F.min("text_key").alias("text_key"))
     found = stored(
@@ -186,28 +261,34 @@ def near_duplicates(
             "confirmed",
         )
 
-    sizes = buckets.select("key", "n").distinct()
-    first = buckets.groupBy("key").agg(F.min("lead").alias("b"), F.first("n").alias("n_a"))
-    first = first.join(sizes.select(F.col("key").alias("b"), F.col("n").alias("n_b")), "b").withColumnRenamed("key", "a")
-    links = confirmed(_pairs(first, percent))
-    for everything in (False, True):
-        roots = components(links)
-        placed = buckets.join(roots.withColumnRenamed("node", "key"), "key", "left").select(
-            "band", "key", "n", F.coalesce("root", "key").alias("root")
-        )
-        mixed_bands = (
-            placed.groupBy("band").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high")
-        )
-        open_rows = stored(placed.join(mixed_bands, "band"), "open")
-        if everything:
-            other = open_rows.select("band", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-            pairs = open_rows.select("band", F.col("key").alias("a"), F.col("n").alias("n_a"), "root").join(other, "band")
-            pairs = pairs.where("root < root_b")
-        else:
-            heads = open_rows.groupBy("band", "root", "_low").agg(F.min(F.struct("key", "n")).alias("h"))
-            low = heads.where("root = _low").select("band", F.col("h.key").alias("b"), F.col("h.n").alias("n_b"))
-            pairs = heads.where("root <> _low").select("band", F.col("h.key").alias("a"), F.col("h.n").alias("n_a")).join(low, "band")
-        links = links.union(confirmed(_pairs(pairs, percent)))
+    popular = buckets.groupBy("key").agg(F.sum("size").alias("popularity"))
+    ranked = buckets.join(popular, "key").select("band", "key", "n", F.struct("popularity", "key", "n").alias("as_lead"))
+    leads = ranked.groupBy("band").agg(F.max("as_lead").alias("lead"))
+    centred = stored(
+        ranked.join(leads, "band").groupBy("key", "n").agg(F.max("lead").alias("lead")).select(
+            "key", "n", F.col("lead.key").alias("centre"), F.col("lead.n").alias("n_b")
+        ),
+        "centres",
+    )
+    links = confirmed(
+        _pairs(centred.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("centre").alias("b"), "n_b"), percent)
+    )
+
+    def rooted_by(links: DataFrame) -> DataFrame:
+        roots = components(links).withColumnRenamed("node", "key")
+        return centred.join(roots, "key", "left").select("key", "n", "centre", F.coalesce("root", "key").alias("root"))
+
+    links = links.union(_within_centres(rooted_by(links), found, percent, size))
+    rooted = rooted_by(links)
+    placed = buckets.select("band", "key").join(rooted, "key")
+    several = placed.groupBy("band").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high")
+    open_rows = stored(placed.join(several.select("band"), "band"), "open")
+    left = open_rows.select("band", F.col("key").alias("a"), F.col("n").alias("n_a"), "root", "centre")
+    right = open_rows.select(
+        "band", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), F.col("centre").alias("centre_b")
+    )
+    pairs = left.join(right, "band").where("root < root_b and centre <> centre_b")
+    links = links.union(confirmed(_pairs(pairs, percent)))
     roots = components(links)
     named = documents.where("key is not null").groupBy("key").agg(F.min("doc").alias("doc"))
     rooted = named.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))

@@ -79,6 +79,24 @@ def test_a_chain_of_copies_is_one_component(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got.collect()), key=repr) == brute(rows)
 
 
+def test_copies_near_their_original_and_far_from_each_other(spark, monkeypatch):
+    """Most copies link with the original alone, some with a copy alone; blocks smaller than the group."""
+    monkeypatch.setattr(minhash_dedup._within_centres, "__defaults__", (16,))
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(1000, " ".join(base), "x")]
+    for i in range(90):
+        words_ = list(base)
+        for at in rng.sample(range(150), rng.choice([3, 4, 5, 5, 6])):
+            words_[at] = f"e{i}_{at}"
+        rows.append((i, " ".join(words_), "x"))
+        if i % 10 == 0:
+            words_[rng.randrange(150)] = "again"
+            rows.append((500 + i, " ".join(words_), "x"))
+    got = minhash_dedup.mark_near_duplicates(spark.createDataFrame(rows, DOCS).repartition(3))
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got.collect()), key=repr) == brute(rows)
+
+
 def test_empty_table(spark):
     assert minhash_dedup.mark_near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
 
