@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedweave.functions.ids import stable_id
 from feedweave.functions.keyed import highest, walk_keys
 from feedweave.functions.ordering import number_rows
 from feedweave.functions.text import format_instant
+from feedweave.session import materialize
 
 # Batch size of a publish pass, width of a stored error, topic prefix, words for a lost answer.
 PUBLISH_BATCH = 100
@@ -23,6 +24,7 @@ SCHEMA = (
     "created_at timestamp, published_at timestamp, attempts int, last_error string"
 )
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
+ANSWER = "event_id string, ok boolean, error string"
 # One processing time per batch makes created_at tie; the version keeps the order of a key's events.
 PUBLISH_ORDER = ["created_at", "version", "feed", "business_key"]
 
@@ -116,6 +118,15 @@ def outbox_pending(outbox: DataFrame, n: int = PUBLISH_BATCH) -> DataFrame:
     return outbox.where(F.col("published_at").isNull()).orderBy(*PUBLISH_ORDER).limit(n)
 
 
+def publish_queue(outbox: DataFrame, batch: int = PUBLISH_BATCH) -> DataFrame:
+    """Unpublished events with their place in publish order, their batch, and which of its key's they are in it."""
+    numbered = number_rows(outbox.where(F.col("published_at").isNull()), *PUBLISH_ORDER, name="_position").withColumn(
+        "_batch", F.floor((F.col("_position") - 1) / batch) + 1
+    )
+    of_key = Window.partitionBy("_batch", "feed", "business_key").orderBy("_position")
+    return materialize(numbered.withColumn("_turn", F.row_number().over(of_key)))
+
+
 def outbox_publish_pass(
     outbox: DataFrame, acks: DataFrame, at: datetime | Column, batch: int = PUBLISH_BATCH
 ) -> DataFrame:

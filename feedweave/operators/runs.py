@@ -19,6 +19,7 @@ SCHEMA = (
     "backfill_from timestamp, backfill_to timestamp, max_lag_seconds bigint, error_message string"
 )
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
+COUNTERS = ["extracted", "transformed", "loaded", "skipped", "quarantined", "failed"]
 
 
 def run_counters(record_results: DataFrame) -> DataFrame:

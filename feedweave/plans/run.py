@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
+from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,15 +16,14 @@ from feedweave.operators import quarantine as Q
 from feedweave.operators import runs as R
 from feedweave.operators import watermarks as W
 from feedweave.plans.process import changes_of, check_records, process_batch
-from feedweave.session import materialize
+from feedweave.session import materialize, shared_folder
 from feedweave.sinks.store import LOGS, FeedStore, merge_sink
 from feedweave.sources.change_feed import DEFAULT_OVERLAP, in_window, incremental_window, read_watermark
-from feedweave.sources.pages import bounded_pages, page_records, require_trackable
+from feedweave.sources.pages import page_records, require_trackable
 
-# Run modes, triggers, and how many pages one run reads at most.
+# Run modes and triggers.
 INCREMENTAL, BACKFILL, REPLAY = "INCREMENTAL", "BACKFILL", "REPLAY"
 SCHEDULED, MANUAL = "SCHEDULED", "MANUAL"
-MAX_PAGES = 100
 
 
 def _clock() -> datetime:
@@ -41,15 +41,12 @@ class FeedRunner:
         self.spec, self.store, self.clock = spec, store, clock
         self.spark = store.spark
 
-    def records_of(self, pages: DataFrame, max_pages: int | None = MAX_PAGES) -> DataFrame:
-        """Landed pages (page_no, body) of one read as feed records.
+    def records_of(self, pages: DataFrame) -> DataFrame:
+        """All landed pages (page_no, body) of one read as feed records.
 
         Kept, since a run looks at its records more than once and the page bodies should be parsed once.
         """
-        facts = self.spec.read_pages(pages)
-        if max_pages is not None:
-            facts = bounded_pages(facts, max_pages)
-        return materialize(require_trackable(page_records(facts, self.spec.name)))
+        return materialize(require_trackable(page_records(self.spec.read_pages(pages), self.spec.name)))
 
     def run_incremental(
         self,
@@ -65,9 +62,8 @@ class FeedRunner:
     def run_pages(self, pages: DataFrame, batch_id: int | None = None, trigger: str = SCHEDULED) -> dict:
         """Process landed pages, which already are the part of the feed to process; as one batch of a stream or alone."""
         mark = read_watermark(self.store.read_set("watermark"), self.spec.name)
-        bound = MAX_PAGES if batch_id is None else None
         run = self._start(INCREMENTAL, trigger, mark)
-        return self._execute(run, lambda: self.records_of(pages, bound), batch_id=batch_id)
+        return self._execute(run, lambda: self.records_of(pages), batch_id=batch_id)
 
     def run_backfill(self, feed: DataFrame, start: datetime, end: datetime, trigger: str = MANUAL) -> dict:
         """Read (start, end] again; the watermark does not move."""
@@ -101,7 +97,7 @@ class FeedRunner:
             "watermark_before": mark,
             "watermark_after": mark,
             "drift_detected": False,
-            **dict.fromkeys(["extracted", "transformed", "loaded", "skipped", "quarantined", "failed"], 0),
+            **dict.fromkeys(R.COUNTERS, 0),
         }
 
     def _execute(
@@ -126,6 +122,8 @@ class FeedRunner:
                 sets.append("watermark")
         except Exception as failure:  # whatever it was, the run must be closed in the log
             run |= {"status": R.FAILED, "error_message": str(failure)[: R.ERROR_WIDTH], "finished_at": self.clock()}
+            # Nothing of a failed run becomes visible, so it has loaded nothing either.
+            run |= dict.fromkeys(R.COUNTERS, 0) | {"drift_detected": False, "max_lag_seconds": None}
             run["watermark_after"] = run["watermark_before"]
             sets, buckets, batch_id = [], [], None
         self.store.write("runs", self.spark.createDataFrame([tuple(run[c] for c in R.COLUMNS)], R.SCHEMA), run_no)
@@ -173,17 +171,47 @@ class FeedRunner:
         self.store.write("watermark", moved, run_no)
         run["watermark_after"] = moved.select("watermark_ts").first()[0]
 
-    def publish(self, transport: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        """One publish pass. `transport` gets the pending events and answers (event_id, ok, error)."""
+    def publish(self, transport: Callable[[DataFrame], DataFrame], batch: int = O.PUBLISH_BATCH) -> DataFrame:
+        """One publish pass. `transport` gets the events that are due and answers (event_id, ok, error).
+
+        Events are handed over in publish order, one batch at a time, and inside a batch one event of each key at a
+        time: the next event of a key goes out once the one before has arrived. A key that fails gets nothing more,
+        and after a batch with a failure no further batch starts. Answers are kept before anything is decided, so the
+        transport is called once for what it gets.
+        """
         last = self.store.last_commit()
         run_no = last["run_no"] + 1
         pending = self.store.read_set("outbox_pending", last)
-        passed = materialize(O.outbox_publish_pass(pending, transport(pending), self.clock()))
+        answers = self._hand_over(pending, transport, batch)
+        passed = materialize(O.outbox_publish_pass(pending, answers, self.clock(), batch))
         self.store.write("outbox_pending", passed.where(F.col("published_at").isNull()), run_no)
         self.store.write("outbox_published", passed.where(F.col("published_at").isNotNull()), run_no)
         self.store.commit(last, run_no, last["run_id"], None, ["outbox_pending"], [])
         return passed
 
+    def _hand_over(self, pending: DataFrame, transport: Callable[[DataFrame], DataFrame], batch: int) -> DataFrame:
+        keys = ["feed", "business_key"]
+        queue = O.publish_queue(pending, batch)
+        folder = f"{shared_folder(self.spark)}/publish-{uuid4().hex}"
+        kept = self.spark.createDataFrame([], O.ANSWER)
+        kept.write.parquet(folder)
+        for number in range(queue.agg(F.max("_batch")).first()[0] or 0):
+            due = queue.where(F.col("_batch") == number + 1)
+            # Of one batch, so at most `batch` keys.
+            stopped: list[tuple] = []
+            for turn in range(due.agg(F.max("_turn")).first()[0]):
+                now = due.where(F.col("_turn") == turn + 1)
+                if stopped:
+                    now = now.join(F.broadcast(self.spark.createDataFrame(stopped, "feed string, business_key string")), keys, "left_anti")
+                now = materialize(now)
+                answered = materialize(transport(now.drop("_position", "_batch", "_turn")).select("event_id", "ok", "error"))
+                answered.write.mode("append").parquet(folder)
+                arrived = answered.where("ok").select("event_id")
+                stopped += [tuple(r) for r in now.join(arrived, "event_id", "left_anti").select(*keys).collect()]
+            if stopped:
+                break
+        return self.spark.read.schema(O.ANSWER).parquet(folder)
+
     def discard(self, decisions: DataFrame) -> DataFrame:
         """Discard open quarantined records (quarantine_id, note); returns the decisions about unknown records."""
         last = self.store.last_commit()

@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from feedweave.feeds import KEY_WIDTH, FeedSpec
 from feedweave.operators import drift_events, outbox, quarantine, runs, watermarks
 
-COMMIT = "run_no bigint, run_id string, batch_id bigint, sets map<string, bigint>, buckets map<int, bigint>"
+COMMIT = (
+    "run_no bigint, run_id string, batch_id bigint, sets map<string, bigint>, buckets map<int, bigint>, bucket_count int"
+)
 SETS = {
     "quarantine_open": quarantine.SCHEMA,
     "drift_open": drift_events.SCHEMA,
@@ -35,6 +37,7 @@ LOGS = {
     "outbox_published": outbox.SCHEMA,
 }
 DEFAULT_BUCKETS = 64
+FILES_PER_BUCKET = 4
 
 
 class TooWide(ValueError):
@@ -42,9 +45,20 @@ class TooWide(ValueError):
 
 
 class FeedStore:
-    def __init__(self, spark: SparkSession, root: str, spec: FeedSpec, buckets: int = DEFAULT_BUCKETS):
-        self.spark, self.spec, self.buckets = spark, spec, buckets
+    """`buckets` is fixed by the first commit: a store is read and written with the count it was made with.
+
+    Naming another count for an existing store is refused. `files` tasks write each bucket.
+    """
+
+    def __init__(
+        self, spark: SparkSession, root: str, spec: FeedSpec, buckets: int | None = None, files: int = FILES_PER_BUCKET
+    ):
+        self.spark, self.spec, self.files = spark, spec, files
         self.path = f"{root}/{spec.name}"
+        made_with = self.last_commit()["bucket_count"]
+        if made_with is not None and buckets not in (None, made_with):
+            raise ValueError(f"the store at {self.path} has {made_with} buckets, not {buckets}")
+        self.buckets = made_with or buckets or DEFAULT_BUCKETS
 
     def commits(self) -> DataFrame:
         empty = self.spark.createDataFrame([], COMMIT)
@@ -58,7 +72,7 @@ class FeedStore:
     def last_commit(self) -> dict:
         row = self.commits().orderBy(F.desc("run_no")).first()
         if row is None:
-            return {"run_no": 0, "run_id": None, "batch_id": None, "sets": {}, "buckets": {}}
+            return {"run_no": 0, "run_id": None, "batch_id": None, "sets": {}, "buckets": {}, "bucket_count": None}
         return row.asDict()
 
     def has_batch(self, batch_id: int) -> bool:
@@ -109,7 +123,8 @@ class FeedStore:
 
     def write_state(self, state: DataFrame, run_no: int) -> None:
         bucketed = state.withColumn("bucket", self.bucket_of())
-        bucketed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(
+        share = F.pmod(F.xxhash64("business_key"), F.lit(self.files))
+        bucketed.repartition("bucket", share).write.mode("overwrite").partitionBy("bucket").parquet(
             f"{self.path}/state/run_no={run_no}"
         )
 
@@ -131,6 +146,7 @@ class FeedStore:
             batch_id,
             {**last["sets"], **{name: run_no for name in sets}},
             {**last["buckets"], **{bucket: run_no for bucket in buckets}},
+            self.buckets,
         )
         self.spark.createDataFrame([row], COMMIT).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
 

@@ -72,6 +72,12 @@ def bounded_pages(page_facts: DataFrame, max_pages: int) -> DataFrame:
     return page_facts.where(F.col("page_no") <= bound)
 
 
+def _arrival(page_no: Column, pos: Column) -> Column:
+    """Number of a record in arrival order; a page too wide for the numbering fails instead of mixing with the next."""
+    too_wide = F.raise_error(F.concat(F.lit("too many items on page "), page_no)).cast("bigint")
+    return F.when(pos < PAGE_STRIDE, page_no * PAGE_STRIDE + pos).otherwise(too_wide).cast("bigint")
+
+
 def page_records(page_facts: DataFrame, feed: str) -> DataFrame:
     """One row per item with the lifted fields; `trackable` tells whether key and clock could be lifted."""
     # The outer form: for the inner one Spark adds a filter that would parse every page body a second time.
@@ -97,7 +103,7 @@ def page_records(page_facts: DataFrame, feed: str) -> DataFrame:
         "source_updated_at",
         "deleted",
         "payload",
-        (F.col("page_no") * PAGE_STRIDE + F.col("_pos")).cast("bigint").alias("arrival_seq"),
+        _arrival(F.col("page_no"), F.col("_pos")).alias("arrival_seq"),
         "trackable",
     )
 

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from feedweave.operators.outbox import consume_if_newer
 from feedweave.operators.runs import FAILED
 from feedweave.plans.run import FeedRunner
+from feedweave.session import materialize
 
 PAGE = "page_no bigint, body string"
+VERSIONS = "feed string, business_key string, version int"
 
 
 def page_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
@@ -39,6 +45,30 @@ def follow_feed(runner: FeedRunner, pages: DataFrame, checkpoint: str) -> Stream
     )
 
 
-def consume_dedup_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Consumer side on a stream: drop events delivered again within the delay of their creation time."""
-    return events.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["event_id"])
+def consume_if_newer_stream(
+    events: DataFrame, seen: str, deliver: Callable[[DataFrame, int], None], checkpoint: str
+) -> StreamingQuery:
+    """Consumer side on a stream: hand on an event only if its version is above all its key has brought so far.
+
+    `events` have `delivery_seq`. What was handed on is kept as (feed, business_key, version) under `seen`, a folder
+    on shared storage with a part for each batch, so an event may arrive as late as it likes: it is dropped only if
+    its key is already further. A batch that is run again sees what the batches before it left and writes its part
+    anew; `deliver` gets the batch's number to do the same.
+    """
+    spark = events.sparkSession
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        held = spark.createDataFrame([], VERSIONS)
+        if batch_id > 0:
+            before = spark.read.schema(f"{VERSIONS}, batch bigint").parquet(seen).where(F.col("batch") < batch_id)
+            held = before.groupBy("feed", "business_key").agg(F.max("version").alias("version"))
+        newer = materialize(consume_if_newer(batch, held))
+        deliver(newer, batch_id)
+        newer.select("feed", "business_key", "version").write.mode("overwrite").parquet(f"{seen}/batch={batch_id}")
+
+    return (
+        events.writeStream.foreachBatch(apply)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )

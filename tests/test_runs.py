@@ -1,6 +1,7 @@
 """Whole runs against a store: the scenarios a feed goes through in operation."""
 
 import json
+import os
 from datetime import datetime, timedelta
 
 import pytest
@@ -8,10 +9,11 @@ from pyspark.sql import functions as F
 
 from feedweave.feeds import CUSTOMER_FEED, ORDER_FEED
 from feedweave.operators.outbox import SCHEMA as OUTBOX
+from feedweave.operators.outbox import consume_if_newer
 from feedweave.plans.run import FeedRunner
 from feedweave.sinks.publish import write_messages
 from feedweave.sinks.store import FeedStore
-from feedweave.streaming.driver import consume_dedup_stream, follow_feed, page_stream
+from feedweave.streaming.driver import consume_if_newer_stream, follow_feed, page_stream
 from tests.test_records import CUSTOMER, ORDER, RECORD, changed
 
 T0 = datetime(2026, 3, 1, 10)
@@ -185,6 +187,7 @@ def test_stream_equals_batch_and_skips_committed_batches(spark, runner, tmp_path
         docs = [d | {"deleted": deleted} for _, _, deleted, d in versions[n * 5 : n * 5 + 5]]
         body = json.dumps({"items": docs, "nextCursor": None, "hasMore": False})
         (landing / f"{n}.json").write_text(json.dumps({"page_no": n + 1, "body": body}))
+        os.utime(landing / f"{n}.json", (n + 1, n + 1))  # the stream takes files by their time
     stream = page_stream(spark, str(landing), files_per_batch=2)
     for _ in range(2):
         follow_feed(runner, stream, str(tmp_path / "offsets")).awaitTermination()
@@ -196,13 +199,59 @@ def test_stream_equals_batch_and_skips_committed_batches(spark, runner, tmp_path
     assert streamed == whole and len(whole) == 7
 
 
-def test_stream_consumer_drops_repeats(spark, tmp_path):
-    rows = [(f"e{i % 3}", "f", "k", "CREATED", 1, "{}", T0, None, 0, None) for i in range(9)]
-    spark.createDataFrame(rows, OUTBOX).write.parquet(str(tmp_path / "in"))
-    events = spark.readStream.schema(OUTBOX).parquet(str(tmp_path / "in"))
-    query = (
-        consume_dedup_stream(events).writeStream.format("parquet").option("path", str(tmp_path / "out"))
-        .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    assert spark.read.schema(OUTBOX).parquet(str(tmp_path / "out")).count() == 3
+def test_stream_consumer_equals_the_batch_operator_and_keeps_late_events(spark, tmp_path):
+    """Events of a key in several batches: repeats and older versions go, a first delivery days late stays."""
+    late = T0 - timedelta(days=3)
+    rows = [(f"e{k}{v}", "f", f"k{k}", "CREATED", v, "{}", late if k == 4 else T0, None, 0, None) for k in range(5) for v in (1, 3, 2, 3)]
+    events = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], OUTBOX + ", delivery_seq bigint")
+    for part in range(3):
+        events.where(F.floor(F.col("delivery_seq") / 8) == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    deliver = lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")
+    consume_if_newer_stream(stream, str(tmp_path / "seen"), deliver, str(tmp_path / "cp")).awaitTermination()
+    got = {(r.business_key, r.version) for r in spark.read.schema(events.schema).parquet(out + "/*").collect()}
+    assert got == {(r.business_key, r.version) for r in consume_if_newer(events).collect()} and ("k4", 3) in got
+
+
+def test_publish_hands_over_only_what_is_due(spark, runner):
+    """Held back and waiting events never reach the transport, and nothing reaches it twice."""
+    versions = ("GOLD", "SILVER", "BRONZE")
+    rows = [customer(k, i, tier=tier) for i, tier in enumerate(versions, 1) for k in ("a", "b", "c")]
+    runner.run_incremental(feed(spark, *rows))
+    sent = []
+
+    def transport(due):
+        got = due.orderBy("version", "business_key").collect()
+        sent.append([(r.business_key, r.version) for r in got])
+        answers = [(r.event_id, not (r.business_key == "b" and r.version == 2), None) for r in got]
+        return spark.createDataFrame(answers, "event_id string, ok boolean, error string")
+
+    passed = {(r.business_key, r.version): r.pass_result for r in runner.publish(transport, batch=8).collect()}
+    everything = [e for call in sent for e in call]
+    assert len(everything) == len(set(everything))
+    assert set(everything) == {e for e, result in passed.items() if result in ("PUBLISHED", "FAILED")}
+    assert passed["b", 2] == "FAILED" and passed["b", 3] == "HELD_BACK" and passed["c", 3] == "WAITING"
+
+
+def test_all_landed_pages_are_read(spark, runner):
+    pages = []
+    for n in range(130):
+        doc = customer(f"p{n:03d}", n % 50)[3]
+        pages.append((n + 1, json.dumps({"items": [doc], "nextCursor": "c", "hasMore": True})))
+    run = runner.run_pages(spark.createDataFrame(pages, "page_no bigint, body string"))
+    assert run["extracted"] == run["loaded"] == 130
+
+
+def test_a_store_keeps_its_bucket_count(spark, runner):
+    runner.run_incremental(feed(spark, customer("a", 1)))
+    root = runner.store.path.rsplit("/", 1)[0]
+    assert FeedStore(spark, root, CUSTOMER_FEED).buckets == 4
+    with pytest.raises(ValueError, match="4 buckets"):
+        FeedStore(spark, root, CUSTOMER_FEED, buckets=12)
+
+
+def test_a_failed_run_reports_nothing_loaded(spark, runner):
+    run = runner.run_incremental(feed(spark, customer("a", 1), customer("b", 1, firstName="x" * 5000)))
+    assert run["status"] == "FAILED" and counts(run)[1:] == (0, 0, 0, 0) and run["extracted"] == 0
+    assert not run["drift_detected"] and runner.store.read_state().isEmpty()

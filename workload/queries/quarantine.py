@@ -17,7 +17,7 @@ def _steps(spark, sf_dir, run: int) -> tuple[DataFrame, DataFrame]:
     feed = derived(spark, sf_dir, "event_feed")
     second = F.col("source_updated_at") > _at(SPLIT)
     part = feed.where(second if run == 2 else ~second)
-    rejected = part.where(F.col("event_type") == "view").select(
+    rejected = part.where(F.col("event_type").isin("view", "error")).select(
         "feed",
         "business_key",
         F.date_trunc("day", "source_updated_at").alias("source_updated_at"),
@@ -28,7 +28,7 @@ def _steps(spark, sf_dir, run: int) -> tuple[DataFrame, DataFrame]:
         F.repeat(F.concat(F.lit("event "), F.col("event_id"), F.lit("; ")), F.lit(200)).alias("details"),
         F.concat(F.lit('{"event":'), F.col("event_id"), F.lit("}")).alias("payload"),
     )
-    passes = part.where(F.col("event_type").isin("click", "purchase")).select(
+    passes = part.where(F.col("event_type").isin("click", "purchase", "signup")).select(
         "feed", "business_key", "arrival_seq", (F.col("source_updated_at") - F.expr("INTERVAL 12 HOURS")).alias("source_updated_at")
     )
     return rejected, passes
@@ -99,9 +99,9 @@ def quarantine_mark_replayed(spark, sf_dir):
 
 TABLE_SQL = f"""feed AS ({derived_sql('event_feed')}),
 steps AS (SELECT business_key, CASE WHEN source_updated_at <= TIMESTAMP '{SPLIT}' THEN 1 ELSE 2 END AS run_no, arrival_seq, event_id,
-    event_type = 'view' AS is_reject, CAST(date_trunc('day', source_updated_at) AS TIMESTAMP) AS reject_version,
+    event_type IN ('view', 'error') AS is_reject, CAST(date_trunc('day', source_updated_at) AS TIMESTAMP) AS reject_version,
     source_updated_at - INTERVAL 12 HOUR AS pass_clock
-  FROM feed WHERE event_type IN ('view', 'click', 'purchase')),
+  FROM feed WHERE event_type IN ('view', 'error', 'click', 'purchase', 'signup')),
 ordered AS (SELECT *, row_number() OVER (PARTITION BY business_key ORDER BY run_no, arrival_seq) AS n FROM steps),
 fold AS (
   SELECT DISTINCT business_key, CAST(0 AS BIGINT) AS n, 0 AS run_no, CAST(0 AS BIGINT) AS arrival_seq, CAST(NULL AS BIGINT) AS open_seq,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedweave.operators.watermarks import newest_watermark
+from feedweave.session import materialize
 from feedweave.sources import change_feed as S
 from feedweave.sources import pages as P
 from workload.derived import derived, derived_sql
@@ -130,7 +131,9 @@ def _marks(spark, sf_dir) -> DataFrame:
 
 
 def read_watermark(spark, sf_dir):
-    return _marks(spark, sf_dir).select("feed", F.unix_micros("watermark_ts").alias("watermark_us"), "watermark_key")
+    marks = materialize(_marks(spark, sf_dir))
+    read = [(feed, S.read_watermark(marks, feed)) for feed in ("customers", "events", "orders")]
+    return spark.createDataFrame(read, "feed string, mark timestamp").select("feed", F.unix_micros("mark").alias("watermark_us"))
 
 
 def incremental_window(spark, sf_dir):
@@ -204,7 +207,8 @@ ORACLES = {
             OVER (ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS reached,
           row_number() OVER (ORDER BY page_no) AS n FROM shown)
         SELECT page_no, records, next_cursor, has_more FROM fetched WHERE reached AND n <= 70""",
-    "read_watermark": f"{ALL_FEEDS} SELECT feed, epoch_us(mark) AS watermark_us, mark_key AS watermark_key FROM marks",
+    "read_watermark": f"""{ALL_FEEDS} SELECT feed, epoch_us(mark) AS watermark_us
+        FROM (VALUES ('customers'), ('events'), ('orders')) AS f(feed) LEFT JOIN marks USING (feed)""",
     "incremental_window": f"""{EVENTS} SELECT {SHOWN} FROM feed WHERE source_updated_at >
         (SELECT max(source_updated_at) FROM feed WHERE source_updated_at <= TIMESTAMP '{MARK_UNTIL}') - INTERVAL 1 HOUR""",
     "incremental_windows": f"""{ALL_FEEDS}, everything AS (

@@ -59,7 +59,7 @@ def health(spark, sf_dir) -> DataFrame:
         F.when(F.col("o_orderstatus") == "F", "orders").otherwise("customers").alias("feed")
     ).agg(F.count(F.lit(1)).alias("active_records"))
     return S.feed_health(
-        registered_feeds(spark), runs(spark, sf_dir), drift(spark, sf_dir).where(F.col("feed") != "orders"),
+        registered_feeds(spark), runs(spark, sf_dir), drift(spark, sf_dir),
         quarantine(spark, sf_dir), marks, active, AS_OF,
     )
 
@@ -137,7 +137,7 @@ HEALTH_SQL = f"""{ALL_SQL}, {LATEST}, feeds(feed, protocol) AS (VALUES ('custome
 facts AS (SELECT f.feed, f.protocol, l.run_id AS last_run_id, l.status AS last_status, l.started_at, l.finished_at, l.extracted AS last_extracted, l.loaded AS last_loaded,
     l.skipped AS last_skipped, l.quarantined AS last_quarantined, s.run_id AS last_success_id, {AGE} AS freshness_seconds,
     coalesce(CASE WHEN l.status <> 'RUNNING' THEN l.max_lag_seconds END, s.max_lag_seconds) AS lag_seconds,
-    (SELECT count(*) FROM drift AS d WHERE d.feed = f.feed AND d.status = 'OPEN' AND d.feed <> 'orders') AS open_drift_events,
+    (SELECT count(*) FROM drift AS d WHERE d.feed = f.feed AND d.status = 'OPEN') AS open_drift_events,
     (SELECT count(*) FROM quarantine AS q WHERE q.feed = f.feed AND q.status = 'OPEN') AS open_quarantine,
     (SELECT count(*) FROM orders WHERE CASE WHEN o_orderstatus = 'F' THEN 'orders' ELSE 'customers' END = f.feed) AS active_records,
     (SELECT epoch_us(max(ts)) FROM events WHERE CASE WHEN user_id % 2 = 0 THEN 'customers' ELSE 'orders' END = f.feed) AS watermark_us,
