@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from feedweave.session import materialize, rows_per_group
 
 STRETCH = "_stretch"
+#: Up to so many hot keys are broadcast; more are joined by a shuffle.
+MOST_BROADCAST_KEYS = 200_000
 
 
 @dataclass(frozen=True)
@@ -100,7 +102,7 @@ class SplitKeys(WholeKeys):
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
-    """Keys holding more than `limit` rows: at most rows / limit of them, so their size is bounded."""
+    """Keys holding more than `limit` rows: at most rows / limit of them."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys)
 
 
@@ -118,9 +120,11 @@ def walk_keys(
     """
     limit = rows_per_group(df.sparkSession, limit)
     hot = materialize(hot_keys(df, keys, limit))
-    if hot.isEmpty():
+    found = hot.limit(MOST_BROADCAST_KEYS + 1).count()
+    if found == 0:
         return body(WholeKeys(keys, seq), df)
-    hot = F.broadcast(hot)
+    if found <= MOST_BROADCAST_KEYS:
+        hot = F.broadcast(hot)
     cold = body(WholeKeys(keys, seq), df.join(hot, list(keys), "left_anti"))
     stretched = df.join(hot, list(keys), "left_semi").withColumn(STRETCH, F.expr(f"{seq} div {limit}"))
     split = body(SplitKeys(keys, seq), materialize(stretched.repartition(*keys, STRETCH)))
