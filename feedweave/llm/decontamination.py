@@ -6,8 +6,8 @@ candidate passage, and Smith-Waterman alignment of the passage's words with the
 counts from `least_score` of the score of an exact copy.
 
 Items go to the tasks in blocks of at most `block_words` words, one pass over the documents for each block, so what is
-sent is bounded whatever the benchmark's size. Nothing is shuffled. Words are compared without ASCII case and
-punctuation. Items of fewer words than a seed, null and empty ones are not looked for; null and empty texts match
+sent is bounded whatever the benchmark's size. Nothing is shuffled. Words are compared without case (of all scripts)
+and punctuation. Items of fewer words than a seed, null and empty ones are not looked for; null and empty texts match
 nothing. Items with the same item_id are looked for one by one. Texts are processed whole. A column of the input that
 has the name of the result column is left out.
 """
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedweave.llm.common import carried, column, extended, stored
@@ -75,7 +75,7 @@ class Items:
     """A block of items: their words, and their seeds in order of hash."""
 
     def __init__(self, ids: list[int | None], texts: pa.Array, size: int, rare: int):
-        words = Words(*utf8(texts), lower=True, breaks=PUNCTUATION)
+        words = Words(*utf8(texts), breaks=PUNCTUATION)
         self.ids, self.size = ids, size
         self.lengths = words.counts
         self.words = [words.codes[a:b] for a, b in zip(words.offsets[:-1], words.offsets[1:], strict=True)]
@@ -139,7 +139,7 @@ def _marker(items: Items, least: float):
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "_text"):
-            words = Words(*utf8(batch.column("_text")), lower=True, breaks=PUNCTUATION)
+            words = Words(*utf8(batch.column("_text")), breaks=PUNCTUATION)
             known = batch.column("matches").to_pylist()
             for i, match in _matches(items, words, least):
                 known[i] = [*known[i], match]
@@ -149,6 +149,11 @@ def _marker(items: Items, least: float):
     return mark
 
 
+def folded(text: Column) -> Column:
+    """Text without case; `ß` as its upper case form `SS`."""
+    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+
+
 def mark_contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -163,8 +168,8 @@ def mark_contaminated(
     """The documents with `matches`: item_id, score, first_word and last_word of each passage that copies an item."""
     items = benchmark.select(
         column(item_id).cast("bigint").alias("item"),
-        column(item_text).alias("words_of"),
-        F.coalesce(F.octet_length(column(item_text)), F.lit(0)).alias("size"),
+        folded(column(item_text)).alias("words_of"),
+        F.coalesce(F.octet_length(folded(column(item_text))), F.lit(0)).alias("size"),
     ).where("size > 0")
     rows = placed(items, "item", "words_of")
     # A block of so many bytes has fewer words.
@@ -175,7 +180,7 @@ def mark_contaminated(
     blocks = [r["block"] for r in blocked.select("block").distinct().orderBy("block").collect()]
     names = carried(docs, *RESULTS)
     marked = docs.select(
-        *[column(n) for n in names], column(text).alias("_text"), F.array().cast(_TYPE).alias("matches")
+        *[column(n) for n in names], folded(column(text)).alias("_text"), F.array().cast(_TYPE).alias("matches")
     )
     schema = extended(docs, names, f"_text string, matches {_TYPE}")
     for block in blocks:

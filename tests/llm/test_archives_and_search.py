@@ -214,3 +214,10 @@ def test_copies_are_found_and_clean_documents_are_not(spark):
     nothing = decontamination.mark_contaminated(spark.createDataFrame(rows, DOCS), spark.createDataFrame([], ITEMS))
     assert all(r.matches == [] for r in nothing.collect())
     assert decontamination.mark_contaminated(spark.createDataFrame([], DOCS), spark.createDataFrame(items, ITEMS)).collect() == []
+
+
+def test_case_does_not_hide_a_copy_in_any_script(spark):
+    item = "la forêt éclaire après dîner où les élèves mangent straße größe ähnlich über köln grüße çà naïve œuvre"
+    docs = [(1, "avant " + item.upper() + " APRÈS", "s", "m"), (2, "rien à voir ici", "s", "m"), (3, item.title(), "s", "m")]
+    marked = decontamination.mark_contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(7, item)], ITEMS))
+    assert {r.doc_id: [(m["item_id"], m["score"]) for m in r.matches] for r in marked.collect()} == {1: [(7, 1.0)], 2: [], 3: [(7, 1.0)]}
