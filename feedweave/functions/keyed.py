@@ -1,9 +1,11 @@
 """Order-dependent per-key computation that never walks an unbounded group in one task.
 
 Following a key's records in arrival order is a window over the key. That is right for the long tail of keys, but
-one key may hold a third of a feed. Keys with more rows than `rows_per_group` are therefore cut into stretches of
-consecutive arrival numbers: each stretch is walked by its own task, a one-row summary per stretch (map-side
-combined) is carried across the stretches of the key, and the carried value is joined back. This works for every
+one key may hold a third of a feed. The rows of keys with more than `rows_per_group` rows are therefore range
+partitioned by key and arrival number, and what a key has in one partition is a stretch: each stretch is walked by its
+own task, a one-row summary per stretch (map-side combined) is carried across the stretches of the key, and the carried
+value is joined back. Ranges are cut by rows, whatever gaps the numbers have, so a key has at most as many stretches as
+there are ranges. This works for every
 running value that is associative: highest so far, total so far, last non-null so far.
 """
 
@@ -11,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,8 +105,13 @@ class SplitKeys(WholeKeys):
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
-    """Keys holding more than `limit` rows: at most rows / limit of them."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys)
+    """Keys holding more than `limit` rows, with their rows `_n`: at most rows / limit of them."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+
+
+def cut_by_rows(df: DataFrame, keys: Sequence[str], seq: str, ranges: int) -> DataFrame:
+    """The rows with their stretch: the range they fall in when all are cut into `ranges` by key and arrival number."""
+    return df.repartitionByRange(ranges, *keys, seq).withColumn(STRETCH, F.spark_partition_id())
 
 
 def walk_keys(
@@ -115,17 +123,19 @@ def walk_keys(
 ) -> DataFrame:
     """Run `body` over the records of every key in `seq` order, splitting keys that are too big for one task.
 
-    `seq` is an integer that is unique within a key, so a stretch can hold at most `limit` rows. Without big keys
-    (the usual case) the plan is one shuffle by key and the windows on top of it. Keys must not be null.
+    `seq` is a number that is unique within a key. Ranges are twice as many as needed, since their bounds are sampled.
+    Without big keys (the usual case) the plan is one shuffle by key and the windows on top of it. Keys must not be null.
     """
     limit = rows_per_group(df.sparkSession, limit)
-    hot = materialize(hot_keys(df, keys, limit))
-    found = hot.limit(MOST_BROADCAST_KEYS + 1).count()
+    counted = materialize(hot_keys(df, keys, limit))
+    found, rows = counted.agg(F.count(F.lit(1)), F.sum("_n")).first()
     if found == 0:
         return body(WholeKeys(keys, seq), df)
+    hot = counted.select(*keys)
     if found <= MOST_BROADCAST_KEYS:
         hot = F.broadcast(hot)
     cold = body(WholeKeys(keys, seq), df.join(hot, list(keys), "left_anti"))
-    stretched = df.join(hot, list(keys), "left_semi").withColumn(STRETCH, F.expr(f"{seq} div {limit}"))
+    stretched = cut_by_rows(df.join(hot, list(keys), "left_semi"), keys, seq, 2 * ceil(rows / limit))
+    # Kept, so that every walk over the stretches sees the same cuts.
     split = body(SplitKeys(keys, seq), materialize(stretched.repartition(*keys, STRETCH)))
     return cold.unionByName(split.drop(STRETCH))

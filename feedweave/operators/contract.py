@@ -28,56 +28,49 @@ class Contract:
     feed: str
     fields: tuple[Field, ...]
 
-    @staticmethod
-    def of(feed: str, declaration: str) -> "Contract":
-        """One field per line: path, JSON type, `required` or `optional`, then the closed value set if any."""
-        fields = []
-        for line in declaration.strip().splitlines():
-            path, kind, need, *allowed = line.split()
-            fields.append(Field(path, kind, need == "required", tuple(allowed) or None))
-        return Contract(feed, tuple(fields))
-
     def children(self, parent: str) -> list[Field]:
         """Fields declared directly below `parent`; the root is the empty path."""
         return [field for field in self.fields if field.parent == parent]
 
 
+REQUIRED, OPTIONAL = True, False
+
 # The payload fields of each feed, in the order they are checked.
-CUSTOMERS = Contract.of(
+CUSTOMERS = Contract(
     "customers",
-    """
-    id STRING required
-    email STRING required
-    firstName STRING required
-    lastName STRING required
-    status STRING required ACTIVE INACTIVE CHURNED
-    tier STRING required BRONZE SILVER GOLD PLATINUM
-    address OBJECT required
-    address.line1 STRING required
-    address.line2 STRING optional
-    address.city STRING required
-    address.postalCode STRING required
-    address.country STRING required
-    tags ARRAY optional
-    createdAt STRING required
-    updatedAt STRING required
-    deleted BOOLEAN optional
-    """,
+    (
+        Field("id", "STRING", REQUIRED),
+        Field("email", "STRING", REQUIRED),
+        Field("firstName", "STRING", REQUIRED),
+        Field("lastName", "STRING", REQUIRED),
+        Field("status", "STRING", REQUIRED, ("ACTIVE", "INACTIVE", "CHURNED")),
+        Field("tier", "STRING", REQUIRED, ("BRONZE", "SILVER", "GOLD", "PLATINUM")),
+        Field("address", "OBJECT", REQUIRED),
+        Field("address.line1", "STRING", REQUIRED),
+        Field("address.line2", "STRING", OPTIONAL),
+        Field("address.city", "STRING", REQUIRED),
+        Field("address.postalCode", "STRING", REQUIRED),
+        Field("address.country", "STRING", REQUIRED),
+        Field("tags", "ARRAY", OPTIONAL),
+        Field("createdAt", "STRING", REQUIRED),
+        Field("updatedAt", "STRING", REQUIRED),
+        Field("deleted", "BOOLEAN", OPTIONAL),
+    ),
 )
-ORDERS = Contract.of(
+ORDERS = Contract(
     "orders",
-    """
-    id STRING required
-    customerId STRING required
-    status STRING required PENDING PAID SHIPPED DELIVERED CANCELLED
-    total OBJECT required
-    total.amount STRING required
-    total.currency STRING required
-    lines ARRAY required
-    placedAt STRING required
-    updatedAt STRING required
-    deleted BOOLEAN optional
-    """,
+    (
+        Field("id", "STRING", REQUIRED),
+        Field("customerId", "STRING", REQUIRED),
+        Field("status", "STRING", REQUIRED, ("PENDING", "PAID", "SHIPPED", "DELIVERED", "CANCELLED")),
+        Field("total", "OBJECT", REQUIRED),
+        Field("total.amount", "STRING", REQUIRED),
+        Field("total.currency", "STRING", REQUIRED),
+        Field("lines", "ARRAY", REQUIRED),
+        Field("placedAt", "STRING", REQUIRED),
+        Field("updatedAt", "STRING", REQUIRED),
+        Field("deleted", "BOOLEAN", OPTIONAL),
+    ),
 )
 
 

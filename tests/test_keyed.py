@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from feedweave.functions.keyed import highest, last, total, walk_keys
+from feedweave.functions.keyed import STRETCH, cut_by_rows, highest, last, total, walk_keys
 from feedweave.functions.ordering import number_rows
 from feedweave.operators import merge as M
 from feedweave.operators import quarantine as Q
@@ -125,6 +125,16 @@ def test_running_values(spark, limit):
     assert {r.seq: (r.top, r.sum, r.latest) for r in got.collect()} == expected
 
 
+def test_stretches_follow_rows_not_numbers(spark):
+    """Landed pages number records with gaps: a key over many pages still has few stretches, and none is too long."""
+    rows = spark.createDataFrame([("hot", page * 1_000_000 + pos) for page in range(100) for pos in range(10)], "key string, seq bigint")
+    cut = cut_by_rows(rows, ["key"], "seq", 20).groupBy(STRETCH).agg(F.count("*").alias("n"), F.min("seq").alias("low"), F.max("seq").alias("high"))
+    found = cut.orderBy(STRETCH).collect()
+    assert 10 <= len(found) <= 20
+    assert max(r.n for r in found) <= 100 and sum(r.n for r in found) == 1000
+    assert all(a.high < b.low for a, b in zip(found, found[1:], strict=False))
+
+
 @pytest.mark.parametrize("limit", [1_000_000, 8])
 def test_dedup_looks_at_the_previous_record_only(spark, limit):
     rnd = random.Random(11)

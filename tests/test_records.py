@@ -33,8 +33,8 @@ ORDER = {
     "id": "ord_1",
     "customerId": "cus_1",
     "status": "PAID",
-    "total": {"amount": "31.50", "currency": "eur"},
-    "lines": [{"sku": "A", "quantity": 2, "unitPrice": "10.50"}, {"sku": "B", "quantity": 1, "unitPrice": "10.50"}],
+    "total": {"amount": "21.75", "currency": "eur"},
+    "lines": [{"sku": "A", "quantity": 2, "unitPrice": "7.25"}, {"sku": "B", "quantity": 1, "unitPrice": "7.25"}],
     "placedAt": "2026-03-01T09:00:00Z",
     "updatedAt": "2026-03-01T10:00:00Z",
 }
@@ -150,25 +150,25 @@ def test_customer_mapping(spark):
 
 
 def test_order_mapping(spark):
-    three = changed(ORDER, lines__0__unitPrice="10.505", lines__1__unitPrice="10.505")
+    three = changed(ORDER, lines__0__unitPrice="7.255", lines__1__unitPrice="7.255")
     fine, three, total, blank, stop, number, huge = mapped(
         spark,
         MP.map_order,
         ORDER,
         three,
-        changed(ORDER, total__amount="31.49"),
+        changed(ORDER, total__amount="21.74"),
         changed(ORDER, lines__0__sku=" ", lines__1__sku=...),
         changed(ORDER, lines__0__quantity="2", lines__1__quantity="x", placedAt="never"),
-        changed(ORDER, total__amount=31.5, lines__0__unitPrice=10.5),
+        changed(ORDER, total__amount=21.75, lines__0__unitPrice=7.25),
         changed(ORDER, lines__0__quantity=2**32 + 2),
     )
-    assert fine[0] is None and fine[2].total.amount_minor == 3150 and fine[2].total.currency == "EUR"
+    assert fine[0] is None and fine[2].total.amount_minor == 2175 and fine[2].total.currency == "EUR"
     message = "must have at most two decimal places and fit in minor units (Rounding necessary)"
     assert three[:2] == ("UNMAPPABLE", [f"lines[{i}].unitPrice: {message}" for i in (0, 1)])
-    assert total[:2] == ("INVALID", ["total: must equal the sum of line totals (3150)"])
+    assert total[:2] == ("INVALID", ["total: must equal the sum of line totals (2175)"])
     assert blank[:2] == ("INVALID", ["lines.sku: must not be blank"])
     assert stop[:2] == ("UNMAPPABLE", ["lines[0].quantity: missing or not a integer"])
-    assert number[0] is None and number[2].total.amount_minor == 3150
+    assert number[0] is None and number[2].total.amount_minor == 2175
     assert huge[0] is None and huge[2].lines[0].quantity == 2
 
 

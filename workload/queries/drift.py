@@ -69,19 +69,40 @@ def drift_route(spark, sf_dir):
     return routed.select("feed", "arrival_seq", "route", "drift_detected", F.col("drift_details").alias("details"))
 
 
-def _contract_rows(contract) -> str:
-    rows = []
-    for n, f in enumerate(contract.fields):
-        allowed = f"'{'|'.join(sorted(f.allowed))}'" if f.allowed else "NULL"
-        rows.append(f"('{contract.feed}', {n}, '{f.path}', '{f.parent}', '{f.name}', '{f.type}', {f.required}, {allowed})")
-    return ", ".join(rows)
-
+# Fixed values, written out here so that a changed contract is noticed: feed, position, path, parent, name, type, required, allowed.
+CONTRACT_ROWS = """
+  ('customers', 0, 'id', '', 'id', 'STRING', True, NULL),
+  ('customers', 1, 'email', '', 'email', 'STRING', True, NULL),
+  ('customers', 2, 'firstName', '', 'firstName', 'STRING', True, NULL),
+  ('customers', 3, 'lastName', '', 'lastName', 'STRING', True, NULL),
+  ('customers', 4, 'status', '', 'status', 'STRING', True, 'ACTIVE|CHURNED|INACTIVE'),
+  ('customers', 5, 'tier', '', 'tier', 'STRING', True, 'BRONZE|GOLD|PLATINUM|SILVER'),
+  ('customers', 6, 'address', '', 'address', 'OBJECT', True, NULL),
+  ('customers', 7, 'address.line1', 'address', 'line1', 'STRING', True, NULL),
+  ('customers', 8, 'address.line2', 'address', 'line2', 'STRING', False, NULL),
+  ('customers', 9, 'address.city', 'address', 'city', 'STRING', True, NULL),
+  ('customers', 10, 'address.postalCode', 'address', 'postalCode', 'STRING', True, NULL),
+  ('customers', 11, 'address.country', 'address', 'country', 'STRING', True, NULL),
+  ('customers', 12, 'tags', '', 'tags', 'ARRAY', False, NULL),
+  ('customers', 13, 'createdAt', '', 'createdAt', 'STRING', True, NULL),
+  ('customers', 14, 'updatedAt', '', 'updatedAt', 'STRING', True, NULL),
+  ('customers', 15, 'deleted', '', 'deleted', 'BOOLEAN', False, NULL),
+  ('orders', 0, 'id', '', 'id', 'STRING', True, NULL),
+  ('orders', 1, 'customerId', '', 'customerId', 'STRING', True, NULL),
+  ('orders', 2, 'status', '', 'status', 'STRING', True, 'CANCELLED|DELIVERED|PAID|PENDING|SHIPPED'),
+  ('orders', 3, 'total', '', 'total', 'OBJECT', True, NULL),
+  ('orders', 4, 'total.amount', 'total', 'amount', 'STRING', True, NULL),
+  ('orders', 5, 'total.currency', 'total', 'currency', 'STRING', True, NULL),
+  ('orders', 6, 'lines', '', 'lines', 'ARRAY', True, NULL),
+  ('orders', 7, 'placedAt', '', 'placedAt', 'STRING', True, NULL),
+  ('orders', 8, 'updatedAt', '', 'updatedAt', 'STRING', True, NULL),
+  ('orders', 9, 'deleted', '', 'deleted', 'BOOLEAN', False, NULL)"""
 
 JSON_TYPE = """CASE {t} WHEN 'VARCHAR' THEN 'STRING' WHEN 'BIGINT' THEN 'NUMBER' WHEN 'UBIGINT' THEN 'NUMBER'
   WHEN 'HUGEINT' THEN 'NUMBER' WHEN 'DOUBLE' THEN 'NUMBER' WHEN 'BOOLEAN' THEN 'BOOLEAN' WHEN 'ARRAY' THEN 'ARRAY' ELSE 'OBJECT' END"""
 # Contract against payloads as a relational join: one row per record and declared field, one per record and added name.
 CONTRACT_SQL = f"""
-contract(feed, ord, path, parent, name, type, required, allowed) AS (VALUES {_contract_rows(CUSTOMERS)}, {_contract_rows(ORDERS)}),
+contract(feed, ord, path, parent, name, type, required, allowed) AS (VALUES {CONTRACT_ROWS}),
 records AS (SELECT feed, arrival_seq, business_key, source_updated_at, deleted, CAST(payload AS JSON) AS doc
   FROM ({derived_sql('customer_feed')}) AS c
   UNION ALL SELECT feed, arrival_seq, business_key, source_updated_at, deleted, CAST(payload AS JSON) FROM ({derived_sql('order_feed')}) AS o),

@@ -88,7 +88,7 @@ def read_connection_pages(spark, sf_dir):
         F.unix_micros("source_updated_at").alias("clock_us"),
         "deleted",
         "arrival_seq",
-        F.get_json_object("payload", "$.status").alias("status"),
+        "payload",
     )
 
 
@@ -192,7 +192,7 @@ ORACLES = {
         SELECT feed, business_key, epoch_us(source_updated_at) AS clock_us, deleted, {ARRIVAL}, payload FROM feed""",
     "read_connection_pages": f"""WITH feed AS ({derived_sql('order_feed')})
         SELECT feed, business_key, epoch_us(source_updated_at) AS clock_us, deleted, {ARRIVAL},
-          json_extract_string(payload, '$.status') AS status FROM feed""",
+          regexp_replace(payload, '("[a-zA-Z]+":[0-9]+[.][0-9]+?)0+([,}}])', '\\1\\2', 'g') AS payload FROM feed""",
     "untrackable_records": f"""WITH feed AS ({derived_sql('customer_feed')}), broken AS ({UNTRACKABLE.format(feed='feed')}),
         lifted AS (SELECT payload, json_extract_string(payload, '$.id') AS business_key,
           json_extract_string(payload, '$.updatedAt') AS stamp FROM broken)
