@@ -1,12 +1,15 @@
 """Benchmark decontamination: passages of documents that copy a test item, also when edited.
 
-Rare n-grams of the items are the seeds: those that occur in few items (all of an item's n-grams, if none is rare).
-Documents are joined to items on seeds inside the scan; a place where seeds of one item gather on one diagonal is a
+n-grams of the items are the seeds: those that occur in at most `rare` items of the benchmark, and of each item its
+rarest ones up to a number of which `SEEDS` are left after the most words that may be replaced or left out at
+`least_score` (all its n-grams, if there are fewer). Documents are joined to items on seeds inside the scan; a place
+where as many seeds of one item gather on one diagonal as such edits leave (`SEEDS` at most, one at least) is a
 candidate passage, and Smith-Waterman alignment of the passage's words with the item's words scores it. A passage
-counts from `least_score` of the score of an exact copy.
+counts from `least_score` of the score of an exact copy; passages of one item do not overlap. A copy whose edits leave
+no two of its words side by side has no seed and is not found.
 
 Items go to the tasks in blocks of at most `block_words` words, one pass over the documents for each block, so what is
-sent is bounded whatever the benchmark's size. Nothing is shuffled. Words are compared without case (of all scripts)
+sent is bounded whatever the benchmark's size. No document is shuffled. Words are compared without case (of all scripts)
 and punctuation. Items of fewer words than a seed, null and empty ones are not looked for; null and empty texts match
 nothing. Items with the same item_id are looked for one by one. Texts are processed whole. A column of the input that
 has the name of the result column is left out.
@@ -18,12 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import carried, column, extended, stored
+from feedweave.llm.common import carried, column, extended, ints, stored
 from feedweave.llm.prefix import placed, totals
-from feedweave.llm.units import PUNCTUATION, U64, Words, mixed, pieces, utf8
+from feedweave.llm.units import PUNCTUATION, U64, Words, mixed, pieces, signed, utf8
 
 SEED_WORDS = 2
 SEEDS = 3
@@ -71,22 +74,41 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best, first, last
 
 
+def _lost(lengths: np.ndarray, size: int, least: float) -> np.ndarray:
+    """The most n-grams of an item that a passage can lack by words replaced or left out and still score `least`."""
+    return size * np.floor(lengths * (1 - least) * MATCH / (MATCH - MISMATCH) + 1e-9).astype(np.int64)
+
+
 class Items:
-    """A block of items: their words, and their seeds in order of hash."""
+    """A block of items: their words, their seeds in order of hash, and how many seeds a passage must have.
+
+    `counted` are the n-grams of the block in order, and in how many items of the benchmark each occurs.
+    """
 
-    def __init__(self, ids: list[int | None], texts: pa.Array, size: int, rare: int):
+    def __init__(
+        self,
+        ids: list[int | None],
+        texts: pa.Array,
+        size: int,
+        rare: int,
+        least: float,
+        counted: tuple[np.ndarray, np.ndarray],
+    ):
         words = Words(*utf8(texts), breaks=PUNCTUATION)
         self.ids, self.size = ids, size
         self.lengths = words.counts
-        self.words = [words.codes[a:b] for a, b in zip(words.offsets[:-1], words.offsets[1:], strict=True)]
+        self.codes, self.offsets = words.codes, words.offsets
         start, hashed = _grams(words, size)
         owner = np.searchsorted(words.offsets, start, side="right") - 1
-        pairs = np.unique(np.stack([hashed, owner.astype(U64)], axis=1), axis=0)
-        grams, items = np.unique(pairs[:, 0], return_counts=True) if len(pairs) else (hashed, hashed)
+        grams, items = counted
         spread = items[np.searchsorted(grams, hashed)] if len(hashed) else hashed
-        is_rare = spread <= rare
-        has_rare = np.bincount(owner, weights=is_rare, minlength=len(ids)) > 0
-        use = is_rare | ~has_rare[owner]
+        by_spread = np.lexsort([hashed, spread, owner])
+        count = np.bincount(owner, minlength=len(ids))
+        rank = np.empty(len(owner), dtype=np.int64)
+        rank[by_spread] = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        lost = _lost(self.lengths, size, least)
+        use = (rank < lost[owner] + SEEDS) | (spread <= rare)
+        self.needed = np.clip(np.bincount(owner[use], minlength=len(ids)) - lost, 1, SEEDS)
         order = np.argsort(hashed[use], kind="stable")
         self.seeds, self.owner = hashed[use][order], owner[use][order]
         self.place = (start - words.offsets[owner])[use][order]
@@ -99,6 +121,49 @@ class Items:
         seed = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + low[row]
         return start[row], self.owner[seed], self.place[seed]
 
+    def of(self, item: int) -> np.ndarray:
+        return self.codes[self.offsets[item] : self.offsets[item + 1]]
+
+
+def _common(items: Items, item: np.ndarray, words: Words, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """How many words of its item each passage (`first` to `last`) has anywhere: no alignment matches more."""
+    order = np.argsort(words.codes, kind="stable")
+    codes = words.codes[order]
+    out = np.zeros(len(item), dtype=np.int64)
+    lengths = items.lengths[item]
+    part = np.cumsum(lengths) >> 20
+    for rows in np.split(np.arange(len(item)), np.flatnonzero(np.diff(part)) + 1):
+        count = lengths[rows]
+        owner = np.repeat(rows, count)
+        at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + items.offsets[item[owner]]
+        low = np.searchsorted(codes, items.codes[at], side="left")
+        high = np.searchsorted(codes, items.codes[at], side="right")
+        known = np.flatnonzero(high > low)
+        # The first place of the word from `first` on, by halving inside the word's places.
+        low, high, owner = low[known], high[known], owner[known]
+        end = high.copy()
+        while (open_ := low < high).any():
+            middle = (low + high) // 2
+            before = open_ & (order[np.minimum(middle, len(order) - 1)] < first[owner])
+            low, high = np.where(before, middle + 1, low), np.where(open_ & ~before, middle, high)
+        met = (low < end) & (order[np.minimum(low, len(order) - 1)] < last[owner])
+        out += np.bincount(owner[met], minlength=len(item))
+    return out
+
+
+def _copies(own: np.ndarray, codes: np.ndarray, first: int, last: int, least: float) -> Iterator[tuple[float, int, int]]:
+    """(score, first word, last word) of the passages between `first` and `last` that copy the item."""
+    todo = [(first, last)]
+    while todo:
+        first, last = todo.pop()
+        if last - first < least * len(own):
+            continue
+        score, a, b = align(own, codes[first:last])
+        score /= MATCH * len(own)
+        if score >= least:
+            yield score, first + a, first + b
+            todo += [(first + b + 1, last), (first, first + a)]
+
 
 def _matches(items: Items, words: Words, least: float) -> Iterator[tuple[int, dict]]:
     """(text, match) for every cluster of seeds of one item that lie near one diagonal of one text."""
@@ -112,26 +177,49 @@ def _matches(items: Items, words: Words, least: float) -> Iterator[tuple[int, di
     new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > lengths[1:] // 4 + 1)
     cluster = np.cumsum(new) - 1
     starts = np.flatnonzero(new)
-    # A copy that scores enough keeps several seeds, unless the item has hardly any.
-    distinct = np.unique(np.stack([cluster, place], axis=1), axis=0)[:, 0] if len(order) else cluster
-    enough = np.bincount(distinct, minlength=len(starts)) >= np.where(lengths[starts] >= 12, SEEDS, SEEDS - 1)
-    for c in np.flatnonzero(enough):
-        low, high = starts[c], starts[c + 1] if c + 1 < len(starts) else len(order)
-        own = items.words[item[low]]
-        slack = len(own) // 2
-        text_begin, text_end = words.offsets[text[low]], words.offsets[text[low] + 1]
-        first = max(int(begin[low]) - slack, int(text_begin))
-        last = min(int(begin[high - 1]) + len(own) + slack, int(text_end))
-        score, a, b = align(own, words.codes[first:last])
-        score /= MATCH * len(own)
-        if score >= least:
-            at_word = first - int(text_begin)
+    stops = np.append(starts[1:], len(order))
+    # The same seed on two diagonals of a cluster counts once.
+    span = int(place.max(initial=0)) + 1
+    distinct = np.unique(cluster * span + place) // span
+    enough = np.flatnonzero(np.bincount(distinct, minlength=len(starts)) >= items.needed[item[starts]])
+    starts, stops = starts[enough], stops[enough]
+    text, item, low, high = text[starts], item[starts], begin[starts], begin[stops - 1]
+    lengths = items.lengths[item]
+    slack = lengths // 2
+    first = np.maximum(low - slack, words.offsets[text])
+    last = np.minimum(high + lengths + slack, words.offsets[text + 1])
+    # Candidates of one item that overlap are one passage.
+    new = np.ones(len(text), dtype=bool)
+    new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (first[1:] >= last[:-1])
+    starts = np.flatnonzero(new)
+    text, item, first = text[starts], item[starts], first[starts]
+    last = last[np.append(starts[1:], len(new)) - 1] if len(starts) else last
+    worth = _common(items, item, words, first, last) >= least * items.lengths[item]
+    for c in np.flatnonzero(worth):
+        begin = int(words.offsets[text[c]])
+        for score, a, b in _copies(items.of(item[c]), words.codes, int(first[c]), int(last[c]), least):
             yield (
-                int(text[low]),
-                {"item_id": items.ids[item[low]], "score": score, "first_word": at_word + a, "last_word": at_word + b},
+                int(text[c]),
+                {"item_id": items.ids[item[c]], "score": score, "first_word": a - begin, "last_word": b - begin},
             )
 
 
+def _grams_of_items(size: int):
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "words_of"):
+            words = Words(*utf8(batch.column("words_of")), breaks=PUNCTUATION)
+            start, hashed = _grams(words, size)
+            owner = np.searchsorted(words.offsets, start, side="right") - 1
+            order = np.lexsort([hashed, owner])
+            hashed, owner = hashed[order], owner[order]
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = (hashed[1:] != hashed[:-1]) | (owner[1:] != owner[:-1])
+            block = batch.column("block").take(pa.array(owner[new]))
+            yield pa.RecordBatch.from_arrays([block, pa.array(signed(hashed[new]))], names=["block", "gram"])
+
+    return listed
+
+
 def _marker(items: Items, least: float):
     kind = pa.list_(
         pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
@@ -177,6 +265,14 @@ def mark_contaminated(
         totals(rows, [], start=F.col("size")).select("item", "words_of", F.floor(F.col("start") / block_words).alias("block")),
         "items",
     )
+    # In how many items of the whole benchmark each n-gram of a block occurs.
+    spread = stored(
+        blocked.mapInArrow(_grams_of_items(size), "block bigint, gram bigint")
+        .groupBy("block", "gram")
+        .agg(F.count(F.lit(1)).alias("items"))
+        .withColumn("items", F.sum("items").over(Window.partitionBy("gram"))),
+        "grams",
+    )
     blocks = [r["block"] for r in blocked.select("block").distinct().orderBy("block").collect()]
     names = carried(docs, *RESULTS)
     marked = docs.select(
@@ -185,6 +281,16 @@ def mark_contaminated(
     schema = extended(docs, names, f"_text string, matches {_TYPE}")
     for block in blocks:
         part = blocked.where(F.col("block") == block).select("item", "words_of").toArrow()
-        held = Items(part.column("item").to_pylist(), part.column("words_of").combine_chunks(), size, rare)
+        counts = spread.where(F.col("block") == block).select("gram", "items").toArrow()
+        grams, in_items = ints(counts.column("gram")).view(U64), ints(counts.column("items"))
+        by_gram = np.argsort(grams)
+        held = Items(
+            part.column("item").to_pylist(),
+            part.column("words_of").combine_chunks(),
+            size,
+            rare,
+            least_score,
+            (grams[by_gram], in_items[by_gram]),
+        )
         marked = marked.mapInArrow(_marker(held, least_score), schema)
     return marked.drop("_text")

@@ -221,3 +221,38 @@ def test_case_does_not_hide_a_copy_in_any_script(spark):
     docs = [(1, "avant " + item.upper() + " APRÈS", "s", "m"), (2, "rien à voir ici", "s", "m"), (3, item.title(), "s", "m")]
     marked = decontamination.mark_contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(7, item)], ITEMS))
     assert {r.doc_id: [(m["item_id"], m["score"]) for m in r.matches] for r in marked.collect()} == {1: [(7, 1.0)], 2: [], 3: [(7, 1.0)]}
+
+
+def found_items(spark, docs, items, **kw):
+    rows = decontamination.mark_contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), **kw).collect()
+    return {r.doc_id: sorted(m["item_id"] for m in r.matches) for r in rows}
+
+
+def test_items_that_share_their_words_and_items_of_two_words_are_found(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("hijklmn") for _ in range(6))
+    around = lambda middle: " ".join([word() for _ in range(30)] + [middle] + [word() for _ in range(30)])
+    frame = [word() for _ in range(20)]
+    items = [(i, " ".join(frame[:10] + [word()] + frame[10:])) for i in range(5)]
+    short = [word() for _ in range(4)]
+    items += [(10 + i, " ".join([*short, word()])) for i in range(5)]
+    items += [(20, word() + " " + word()), (21, " ".join([word()] * 9)), (22, word())]
+    docs = [(i, around(t), "s", "m") for i, t in items]
+    docs += [(30, around(items[0][1]) + " " + around(items[0][1]), "s", "m"), (31, around(""), "s", "m")]
+    family = {i: list(range(5)) for i in range(5)} | {i: list(range(10, 15)) for i in range(10, 15)}
+    expected = family | {20: [20], 21: [21], 22: [], 30: sorted([*range(5), *range(5)]), 31: []}
+    assert found_items(spark, docs, items) == expected
+    assert found_items(spark, docs, items, block_words=100) == expected
+
+
+def test_every_copy_with_as_many_words_replaced_as_the_least_score_allows_is_found(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("opqrstu") for _ in range(7))
+    docs, items = [], []
+    for n in (10, 12, 15, 20, 40):
+        own = [word() for _ in range(n)]
+        items.append((n, " ".join(own)))
+        # Two of five words replaced: of the pairs of words those between two fives are left.
+        edited = [word() if i % 5 in (1, 3) and i < 5 * (n // 5) else w for i, w in enumerate(own)]
+        docs.append((n, " ".join([*(word() for _ in range(20)), *edited, *(word() for _ in range(20))]), "s", "m"))
+    assert found_items(spark, docs, items) == {n: [n] for n in (10, 12, 15, 20, 40)}
