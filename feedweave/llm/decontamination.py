@@ -5,7 +5,10 @@ rarest ones up to a number of which `SEEDS` are left after the most words that m
 `least_score` (all its n-grams, if there are fewer). Documents are joined to items on seeds inside the scan; a place
 where as many seeds of one item gather on one diagonal as such edits leave (`SEEDS` at most, one at least) is a
 candidate passage, and Smith-Waterman alignment of the passage's words with the item's words scores it. A passage
-counts from `least_score` of the score of an exact copy; passages of one item do not overlap. A copy whose edits leave
+counts from `least_score` of the score of an exact copy; so does a stretch of any part of an item that is worth
+`stretch` copied words, where an edit costs `EDIT` / 2 of them. Such a stretch keeps its share of the whole item as its
+score. So that stretches have seeds too, the rarest n-grams of every run of `stretch` words are seeds, more than the
+edits of a stretch can take. Passages of one item do not overlap. A copy whose edits leave
 no two of its words side by side has no seed and is not found.
 
 Items go to the tasks in blocks of at most `block_words` words, one pass over the documents for each block, so what is
@@ -32,33 +35,43 @@ SEED_WORDS = 2
 SEEDS = 3
 RARE_ITEMS = 3
 LEAST_SCORE = 0.4
+STRETCH = 20
+EDIT = 8
+# Some words in a row of a stretch are copied without an edit, and on average there are more than EDIT / MATCH of them.
+VERBATIM = EDIT // 2 + 1
 BLOCK_WORDS = 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 RESULTS = ("matches",)
 _TYPE = "array<struct<item_id: bigint, score: double, first_word: bigint, last_word: bigint>>"
 
 
+def _runs_of(codes: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every run of `size` words."""
+    n = max(len(codes) - size + 1, 0)
+    hashed = np.zeros(n, dtype=U64)
+    for k in range(size if n else 0):
+        hashed = mixed(hashed * U64(0x9E3779B97F4A7C15) + codes[k : n + k])
+    return hashed
+
+
 def _grams(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(start, hash) of every run of `size` words inside one text."""
-    n = len(words.codes)
-    hashed = np.zeros(max(n - size + 1, 0), dtype=U64)
-    for k in range(size):
-        hashed = mixed(hashed * U64(0x9E3779B97F4A7C15) + words.codes[k : n - size + 1 + k])
+    hashed = _runs_of(words.codes, size)
     owner = np.repeat(np.arange(len(words.counts)), words.counts)
     inside = owner[: len(hashed)] == owner[size - 1 :] if len(hashed) else np.empty(0, dtype=bool)
     start = np.flatnonzero(inside)
     return start, hashed[start]
 
 
-def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
+def align(item: np.ndarray, passage: np.ndarray, mismatch: int = MISMATCH, gap: int = GAP) -> tuple[int, int, int]:
     """Smith-Waterman: best local score, and the first and last word of the passage it covers."""
-    steps = np.arange(len(passage) + 1) * -GAP
+    steps = np.arange(len(passage) + 1) * -gap
     above = np.zeros(len(passage) + 1, dtype=np.int64)
     origin_above = np.arange(len(passage) + 1)
     best, first, last = 0, 0, 0
     for word in item:
-        diagonal = above[:-1] + np.where(passage == word, MATCH, MISMATCH)
-        up = above[1:] + GAP
+        diagonal = above[:-1] + np.where(passage == word, MATCH, mismatch)
+        up = above[1:] + gap
         here = np.zeros(len(passage) + 1, dtype=np.int64)
         here[1:] = np.maximum(np.maximum(diagonal, up), 0)
         origin = np.arange(len(passage) + 1)
@@ -79,6 +92,21 @@ def _lost(lengths: np.ndarray, size: int, least: float) -> np.ndarray:
     return size * np.floor(lengths * (1 - least) * MATCH / (MATCH - MISMATCH) + 1e-9).astype(np.int64)
 
 
+def _rarest_of_runs(rank: np.ndarray, owner: np.ndarray, size: int, stretch: int) -> np.ndarray:
+    """Whether an n-gram is among the rarest of any `stretch` words in a row of its item."""
+    run = stretch - size + 1
+    # An edit takes `size` n-grams and has to have so many copied words beside it.
+    most = max(SEEDS, -(-run * size // VERBATIM))
+    out = np.zeros(len(rank), dtype=bool)
+    if len(rank) < run or run <= most:
+        return out if run > most else ~out
+    inside = owner[: len(owner) - run + 1] == owner[run - 1 :]
+    windows = np.lib.stride_tricks.sliding_window_view(rank, run)
+    for starts in np.array_split(np.flatnonzero(inside), len(rank) // 65_536 + 1):
+        out[(np.argpartition(windows[starts], most, axis=1)[:, :most] + starts[:, None]).ravel()] = True
+    return out
+
+
 class Items:
     """A block of items: their words, their seeds in order of hash, and how many seeds a passage must have.
 
@@ -92,6 +120,7 @@ class Items:
         size: int,
         rare: int,
         least: float,
+        stretch: int,
         counted: tuple[np.ndarray, np.ndarray],
     ):
         words = Words(*utf8(texts), breaks=PUNCTUATION)
@@ -107,7 +136,7 @@ class Items:
         rank = np.empty(len(owner), dtype=np.int64)
         rank[by_spread] = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
         lost = _lost(self.lengths, size, least)
-        use = (rank < lost[owner] + SEEDS) | (spread <= rare)
+        use = (rank < lost[owner] + SEEDS) | (spread <= rare) | _rarest_of_runs(rank, owner, size, stretch)
         self.needed = np.clip(np.bincount(owner[use], minlength=len(ids)) - lost, 1, SEEDS)
         order = np.argsort(hashed[use], kind="stable")
         self.seeds, self.owner = hashed[use][order], owner[use][order]
@@ -151,21 +180,38 @@ def _common(items: Items, item: np.ndarray, words: Words, first: np.ndarray, las
     return out
 
 
-def _copies(own: np.ndarray, codes: np.ndarray, first: int, last: int, least: float) -> Iterator[tuple[float, int, int]]:
-    """(score, first word, last word) of the passages between `first` and `last` that copy the item."""
-    todo = [(first, last)]
+def _copies(
+    own: np.ndarray, codes: np.ndarray, first: int, last: int, least: float, stretch: int, whole: bool
+) -> Iterator[tuple[float, int, int]]:
+    """(score, first word, last word) of the passages between `first` and `last` that copy the item or a stretch of it.
+
+    Without `whole` only stretches are looked for.
+    """
+    todo = [(first, last, whole)]
     while todo:
-        first, last = todo.pop()
-        if last - first < least * len(own):
-            continue
-        score, a, b = align(own, codes[first:last])
-        score /= MATCH * len(own)
-        if score >= least:
+        first, last, whole = todo.pop()
+        passage = codes[first:last]
+        a = None
+        if whole and len(passage) >= least * len(own):
+            score, a, b = align(own, passage)
+            score /= MATCH * len(own)
+            if score < least:
+                a = None
+        # Where the whole item is met from a shorter passage on, stretches add none.
+        if a is None and stretch < least * len(own) and len(passage) >= stretch:
+            whole = False
+            if np.isin(_runs_of(passage, VERBATIM), _runs_of(own, VERBATIM)).any():
+                strict, a, b = align(own, passage, -EDIT, -EDIT)
+                if strict >= MATCH * stretch:
+                    score = align(own, passage[a : b + 1])[0] / (MATCH * len(own))
+                else:
+                    a = None
+        if a is not None:
             yield score, first + a, first + b
-            todo += [(first + b + 1, last), (first, first + a)]
+            todo += [(first + b + 1, last, whole), (first, first + a, whole)]
 
 
-def _matches(items: Items, words: Words, least: float) -> Iterator[tuple[int, dict]]:
+def _matches(items: Items, words: Words, least: float, stretch: int) -> Iterator[tuple[int, dict]]:
     """(text, match) for every cluster of seeds of one item that lie near one diagonal of one text."""
     at, item, place = items.hits(*_grams(words, items.size))
     text = np.searchsorted(words.offsets, at, side="right") - 1
@@ -194,10 +240,12 @@ def _matches(items: Items, words: Words, least: float) -> Iterator[tuple[int, di
     starts = np.flatnonzero(new)
     text, item, first = text[starts], item[starts], first[starts]
     last = last[np.append(starts[1:], len(new)) - 1] if len(starts) else last
-    worth = _common(items, item, words, first, last) >= least * items.lengths[item]
-    for c in np.flatnonzero(worth):
+    common, fewest = _common(items, item, words, first, last), least * items.lengths[item]
+    whole = common >= fewest
+    for c in np.flatnonzero(whole | ((common >= stretch) & (stretch < fewest))):
         begin = int(words.offsets[text[c]])
-        for score, a, b in _copies(items.of(item[c]), words.codes, int(first[c]), int(last[c]), least):
+        within = int(first[c]), int(last[c])
+        for score, a, b in _copies(items.of(item[c]), words.codes, *within, least, stretch, bool(whole[c])):
             yield (
                 int(text[c]),
                 {"item_id": items.ids[item[c]], "score": score, "first_word": a - begin, "last_word": b - begin},
@@ -220,7 +268,7 @@ def _grams_of_items(size: int):
     return listed
 
 
-def _marker(items: Items, least: float):
+def _marker(items: Items, least: float, stretch: int):
     kind = pa.list_(
         pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
     )
@@ -229,7 +277,7 @@ def _marker(items: Items, least: float):
         for batch in pieces(batches, "_text"):
             words = Words(*utf8(batch.column("_text")), breaks=PUNCTUATION)
             known = batch.column("matches").to_pylist()
-            for i, match in _matches(items, words, least):
+            for i, match in _matches(items, words, least, stretch):
                 known[i] = [*known[i], match]
             where = batch.schema.get_field_index("matches")
             yield batch.set_column(where, "matches", pa.array(known, kind))
@@ -252,6 +300,7 @@ def mark_contaminated(
     rare: int = RARE_ITEMS,
     least_score: float = LEAST_SCORE,
     block_words: int = BLOCK_WORDS,
+    stretch: int = STRETCH,
 ) -> DataFrame:
     """The documents with `matches`: item_id, score, first_word and last_word of each passage that copies an item."""
     items = benchmark.select(
@@ -290,7 +339,8 @@ def mark_contaminated(
             size,
             rare,
             least_score,
+            stretch,
             (grams[by_gram], in_items[by_gram]),
         )
-        marked = marked.mapInArrow(_marker(held, least_score), schema)
+        marked = marked.mapInArrow(_marker(held, least_score, stretch), schema)
     return marked.drop("_text")

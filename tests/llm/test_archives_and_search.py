@@ -256,3 +256,21 @@ def test_every_copy_with_as_many_words_replaced_as_the_least_score_allows_is_fou
         edited = [word() if i % 5 in (1, 3) and i < 5 * (n // 5) else w for i, w in enumerate(own)]
         docs.append((n, " ".join([*(word() for _ in range(20)), *edited, *(word() for _ in range(20))]), "s", "m"))
     assert found_items(spark, docs, items) == {n: [n] for n in (10, 12, 15, 20, 40)}
+
+
+def test_a_long_passage_of_a_longer_item_is_found(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    text = lambda n: [word() for _ in range(n)]
+    long, middle = text(1000), text(59)
+    edited = [word() if i % 15 == 9 else w for i, w in enumerate(long[100:200])]
+    glued = [*middle[:20], *text(14), *middle[34:54]]
+    docs = [(1, long[400:700]), (2, middle[30:50]), (3, middle[30:45]), (4, edited), (5, glued), (6, middle)]
+    docs = [(i, " ".join([*text(25), *t, *text(25)]), "s", "m") for i, t in docs]
+    items = [(1, " ".join(long)), (2, " ".join(middle))]
+    marked = decontamination.mark_contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    got = {r.doc_id: [(m["item_id"], m["score"], m["first_word"], m["last_word"]) for m in r.matches] for r in marked}
+    assert got[1] == [(1, 0.3, 25, 324)]
+    assert got[2] == [(2, pytest.approx(20 / 59), 25, 44)]
+    assert got[3] == [] and got[6] == [(2, 1.0, 25, 83)]
+    assert [m[0] for m in got[4]] == [1] and [m[0] for m in got[5]] == [2]
