@@ -22,9 +22,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group; groups without any doc_id stay as they are."""
-    marked = minhash_dedup.mark_near_duplicates(docs)
-    return marked.where("kept or component_id is null").select(*map(column, docs.columns))
+    """One row of each group: of the smallest doc_id, if any row has one."""
+    return minhash_dedup.one_of_each(docs)
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedweave.llm.common import carried, column, ints, stored
@@ -224,8 +224,8 @@ def near_duplicates(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, classes, links): each document's class, each class's component, and confirmed links of classes.
 
-    documents: doc, text_key, key (the class), n (its set's size); classes: key, component (smallest doc_id); links:
-    a, b (classes), enough of them to connect every component.
+    documents: doc, text_key, key (the class), n (its set's size); classes: key, component (smallest doc_id), root;
+    links: a, b (classes), enough of them to connect every component.
     """
     texts = docs.select(
         column(text).alias("text"), column(doc_id).cast("bigint").alias("doc"), F.xxhash64(column(text)).alias("text_key")
@@ -293,7 +293,7 @@ def near_duplicates(
     named = documents.where("key is not null").groupBy("key").agg(F.min("doc").alias("doc"))
     rooted = named.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     ids = rooted.groupBy("root").agg(F.min("doc").alias("component"))
-    return documents, stored(rooted.join(ids, "root").select("key", "component"), "classes"), links
+    return documents, stored(rooted.join(ids, "root").select("key", "component", "root"), "classes"), links
 
 
 def mark_near_duplicates(
@@ -314,3 +314,26 @@ def mark_near_duplicates(
         component.alias("component_id"),
         F.coalesce(F.col("_doc") == component, F.lit(False)).alias("kept"),
     )
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **tuning: int) -> DataFrame:
+    """One row of each group of near-copies: its smallest doc_id, then the smallest hash of its row.
+
+    Groups in which no row has a doc_id keep one row as well. Empty texts are groups of their own, and of a repeated
+    empty row one stays if it has a doc_id.
+    """
+    documents, classes, _ = near_duplicates(docs, text, doc_id, **tuning)
+    first = F.min(F.struct(F.col("doc").isNull().alias("no_id"), "doc", "text_key"))
+    of_text = documents.where("key is not null").groupBy("text_key", "key").agg(first.alias("first"))
+    of_group = of_text.join(classes, "key").groupBy("root").agg(F.min("first").alias("first"))
+    row = F.xxhash64("text_key", "doc").alias("_row")
+    chosen = of_group.select("first.*").select(row, F.lit(False).alias("_every"))
+    empty = documents.where("key is null").select(row, F.col("doc").isNull().alias("_every")).distinct()
+    rows = docs.select(
+        *map(column, docs.columns),
+        F.xxhash64(F.xxhash64(column(text)), column(doc_id).cast("bigint")).alias("_row"),
+        F.xxhash64(*map(column, docs.columns)).alias("_content"),
+    )
+    order = F.row_number().over(Window.partitionBy("_row").orderBy("_content"))
+    found = rows.join(chosen.union(empty), "_row").withColumn("_turn", order)
+    return found.where("_turn = 1 or _every").select(*map(column, docs.columns))

@@ -105,3 +105,19 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (200, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
     assert got == {i: 0 for i in range(41)} | {90: 90, 95: 90, 100: 90}
+
+
+def test_the_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40))
+    copied, nameless, other, near = text(), text(), text(), text()
+    rows = [(7, copied, "x"), (7, copied, "x"), (7, copied, "y"), (9, copied, "x"), (None, copied, "x"), (7, other, "x")]
+    rows += [(None, nameless, "x")] * 3 + [(5, near, "x"), (4, near.upper() + " end", "x"), (6, "", "x"), (6, "", "x"), (8, None, "x")]
+    rows += [(None, "", "x"), (None, "", "x")]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    expected = [(7, copied), (7, other), (None, nameless), (4, near.upper() + " end"), (6, ""), (8, None), (None, ""), (None, "")]
+    assert sorted(((r[0], r[1]) for r in kept.collect()), key=repr) == sorted(expected, key=repr)
