@@ -31,8 +31,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def carried(df: DataFrame, *results: str) -> list[str]:
-    """Columns handed on as they are: all but those that have the name of a result column."""
-    return [c for c in df.columns if c not in results]
+    """Columns handed on as they are: all but those that have the name of a result column, in whatever case."""
+    taken = {r.lower() for r in results}
+    return [c for c in df.columns if c.lower() not in taken]
 
 
 def extended(df: DataFrame, names: list[str], results: str) -> T.StructType:

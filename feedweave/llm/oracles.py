@@ -172,9 +172,72 @@ SELECT
 FROM typed
 """
 
+OP11 = r"""
+WITH texts AS (
+    SELECT
+        coalesce(lang, 'und') AS lang,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+    FROM documents
+),
+pieces AS (
+    SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\n\x0B\f\r]')) AS piece FROM texts
+),
+split AS (
+    SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM pieces
+),
+windows AS (
+    SELECT lang, unnest(list_transform(range(1, len(w) + 1), i -> w[i:i + 2])) AS w FROM split
+),
+phrases AS (
+    SELECT lang, unnest(list_transform(range(1, len(w) + 1), i -> w[1:i])) AS w FROM windows
+),
+counts AS (
+    SELECT lang, w, count(*) AS f FROM phrases GROUP BY lang, w
+),
+totals AS (
+    SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE len(w) = 1 GROUP BY lang
+),
+candidates AS (
+    SELECT lang, w, f AS a FROM counts WHERE len(w) > 1 AND f >= 10
+),
+placed AS (
+    SELECT *, unnest(range(1, len(w))) AS k FROM candidates
+),
+cuts AS (
+    SELECT c.lang, c.w, c.a, k, x.f AS l, y.f AS r, 1000000::HUGEINT * c.a * c.a // (x.f::HUGEINT * y.f) AS score
+    FROM placed AS c
+    JOIN counts AS x ON x.lang = c.lang AND x.w = c.w[1:c.k]
+    JOIN counts AS y ON y.lang = c.lang AND y.w = c.w[c.k + 1:]
+),
+lowest AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, k) = 1
+),
+longer AS (
+    SELECT lang, w[1:2] AS w, a FROM candidates WHERE len(w) = 3
+    UNION ALL
+    SELECT lang, w[2:3] AS w, a FROM candidates WHERE len(w) = 3
+),
+most AS (
+    SELECT lang, w, max(a) AS most FROM longer GROUP BY lang, w
+),
+kept AS (
+    SELECT c.*, array_to_string(c.w, ' ') AS phrase
+    FROM lowest AS c
+    LEFT JOIN most AS x ON x.lang = c.lang AND x.w = c.w
+    WHERE x.most IS NULL OR 100 * x.most < 50 * c.a
+),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM ranked JOIN totals USING (lang)
+WHERE rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op1_suffix_dedup": OP1,
     "op2_substring_dedup": OP2,
     "op7_minhash_dedup": OP7,
     "op8_warc": OP8,
+    "op11_collocations": OP11,
 }

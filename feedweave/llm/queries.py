@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedweave.llm import (
+    collocations,
     decontamination,
     minhash_dedup,
     mixing,
     neighbours,
+    periodic_runs,
     quality,
     sharding,
+    simhash_dedup,
     substring_dedup,
     suffix_dedup,
     token_counts,
@@ -69,6 +72,21 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.mark_simhash_duplicates(table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic_runs.digest(
+        periodic_runs.collapse_runs(docs, key="doc_id", change=periodic_runs.with_periods)
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -82,5 +100,8 @@ QUERIES = {
         op8_warc,
         op9_mixing,
         op10_neighbours,
+        op11_collocations,
+        op12_simhash_dedup,
+        op13_periodic_runs,
     )
 }
