@@ -186,10 +186,10 @@ split AS (
     SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM pieces
 ),
 windows AS (
-    SELECT lang, unnest(list_transform(range(1, len(w) + 1), i -> w[i:i + 2])) AS w FROM split
+    SELECT lang, unnest(list_transform(range(1, len(w) + 1), lambda i: w[i:i + 2])) AS w FROM split
 ),
 phrases AS (
-    SELECT lang, unnest(list_transform(range(1, len(w) + 1), i -> w[1:i])) AS w FROM windows
+    SELECT lang, unnest(list_transform(range(1, len(w) + 1), lambda i: w[1:i])) AS w FROM windows
 ),
 counts AS (
     SELECT lang, w, count(*) AS f FROM phrases GROUP BY lang, w
