@@ -185,10 +185,11 @@ def before_after_of(annotated: DataFrame) -> DataFrame:
     )
 
 
-def state_of(annotated: DataFrame) -> DataFrame:
+def state_of(annotated: DataFrame, changed: bool = False) -> DataFrame:
     """The destination table after the batch: one row per key, taken from the key's last row in arrival order.
 
-    Keys of which only deletes were ever seen have no row.
+    Keys of which only deletes were ever seen have no row. `changed` leaves out rows that are as they were stored:
+    those of keys that the batch brought nothing for, or only stale changes.
     """
     stored = F.col("_stored").isNotNull()
     own = F.col("_effective") & ~F.col("is_delete") & ~stored
@@ -205,10 +206,15 @@ def state_of(annotated: DataFrame) -> DataFrame:
         .otherwise(F.coalesce(F.col("_stored.last_synced_at"), F.col("_stored_sync")))
         .alias("last_synced_at"),
     )
-    return (
+    rows = (
         annotated.where("_known")
         .groupBy("business_key")
-        .agg(F.max_by(final, F.col("arrival_seq")).alias("_row"))
+        .agg(
+            F.max_by(final, F.col("arrival_seq")).alias("_row"), F.bool_or(~stored & F.col("_effective")).alias("_changed")
+        )
+    )
+    return (
+        (rows.where("_changed") if changed else rows)
         .select(
             "business_key",
             "_row.content.*",

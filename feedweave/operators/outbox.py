@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
 from datetime import datetime
+from math import ceil
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedweave.functions.ids import stable_id
-from feedweave.functions.keyed import highest, walk_keys
+from feedweave.functions.keyed import highest, hot_keys, walk_keys
 from feedweave.functions.ordering import number_rows
 from feedweave.functions.text import format_instant
-from feedweave.session import materialize
+from feedweave.session import materialize, rows_per_group
 
 # Batch size of a publish pass, width of a stored error, topic prefix, words for a lost answer.
 PUBLISH_BATCH = 100
@@ -160,19 +164,127 @@ def outbox_publish_pass(
         .when(F.col("_ok"), F.lit("PUBLISHED"))
         .otherwise(F.lit("FAILED")),
     )
-    tried = F.col("pass_result").isin("PUBLISHED", "FAILED")
+    updated = _after_pass(decided, F.col("_error"), now).select(*outbox.columns, "pass_result")
+    done = outbox.where(F.col("published_at").isNotNull()).withColumn("pass_result", F.lit(None).cast("string"))
+    return updated.unionByName(done)
+
+
+def _in_turns(send: Callable[[pa.Table], Sequence[str | None]]):
+    """Hand over sorted events of whole keys, as many keys at a time as there are, each key one event at a time."""
+
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple | None = None
+        failed = False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = list(zip(batch.column("feed").to_pylist(), batch.column("business_key").to_pylist(), strict=True))
+            first = np.array([a != b for a, b in zip(keys, [key, *keys[:-1]], strict=True)])
+            owner = np.cumsum(first)
+            turn = np.arange(len(keys)) - np.searchsorted(owner, owner, side="left")
+            # Owner 0 is the key that the batch before ended with.
+            stopped = np.zeros(int(owner[-1]) + 1, dtype=bool)
+            stopped[0] = failed
+            events = pa.Table.from_batches([batch.select(COLUMNS)])
+            by_turn = np.argsort(turn, kind="stable")
+            for due in np.split(by_turn, np.flatnonzero(np.diff(turn[by_turn])) + 1):
+                due = due[~stopped[owner[due]]]
+                if not len(due):
+                    continue
+                errors = list(send(events.take(pa.array(due))))
+                if len(errors) != len(due):
+                    raise ValueError(f"{len(due)} events were handed over and {len(errors)} answered")
+                ok = [e is None for e in errors]
+                stopped[owner[due[~np.array(ok)]]] = True
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        events.column("event_id").take(pa.array(due)).combine_chunks(),
+                        pa.array(ok, pa.bool_()),
+                        pa.array(errors, pa.string()),
+                    ],
+                    names=["event_id", "ok", "error"],
+                )
+            key, failed = keys[-1], bool(stopped[-1])
+
+    return answers
+
+
+def delivered(
+    outbox: DataFrame, send: Callable[[pa.Table], Sequence[str | None]], limit: int | None = None
+) -> DataFrame:
+    """Hand over all pending events by tasks and return the answers (event_id, ok, error).
+
+    Events of a key go out one after the other, in publish order; after a failure its later ones do not. A key has at
+    most `limit` events in one round; later rounds leave out keys that failed before.
+    """
+    limit = rows_per_group(outbox.sparkSession, limit)
+    keys = ["feed", "business_key"]
+    pending = outbox.where(F.col("published_at").isNull())
+    long = materialize(hot_keys(pending, keys, limit))
+    most = long.agg(F.max("_n")).first()[0]
+    if most is None:
+        return _handed_over(pending, send)
+    # Places inside long keys come from a range sort, not from a window over the key.
+    numbered = number_rows(pending.join(long, keys, "left_semi"), *keys, *PUBLISH_ORDER[:2], "event_id", name="_position")
+    first = F.min("_position").alias("_first")
+    numbered = materialize(numbered)
+    placed = numbered.join(numbered.groupBy(*keys).agg(first), keys)
+    rounds = materialize(placed.withColumn("_round", F.floor((F.col("_position") - F.col("_first")) / limit)))
+    answers = _handed_over(pending.join(long, keys, "left_anti"), send)
+    for number in range(ceil(most / limit)):
+        due = rounds.where(F.col("_round") == number)
+        if number:
+            stopped = answers.where(~F.col("ok")).join(rounds.select("event_id", *keys), "event_id").select(*keys)
+            due = due.join(stopped, keys, "left_anti")
+        answers = answers.unionByName(_handed_over(due, send))
+    return answers
+
+
+def _handed_over(due: DataFrame, send: Callable[[pa.Table], Sequence[str | None]]) -> DataFrame:
+    """Kept, so that nothing is sent again by a later use of the answers."""
+    sorted_keys = due.select(*COLUMNS).repartition("feed", "business_key").sortWithinPartitions(
+        "feed", "business_key", *PUBLISH_ORDER[:2], "event_id"
+    )
+    return materialize(sorted_keys.mapInArrow(_in_turns(send), ANSWER))
+
+
+def outbox_publish_by_key(outbox: DataFrame, acks: DataFrame, at: datetime | Column) -> DataFrame:
+    """The outbox after a pass that keeps the order inside each key only, given the answers (event_id, ok, error).
+
+    Adds `pass_result`: PUBLISHED, FAILED, or HELD_BACK for events after a failure of their key; null for rows that
+    were published before. An event without an answer has failed, if none of its key's failed before it.
+    """
+    now = at if isinstance(at, Column) else F.lit(at).cast("timestamp")
+    pending = outbox.where(F.col("published_at").isNull())
+    answered = pending.join(acks.select("event_id", "ok", "error"), "event_id", "left").withColumns(
+        {"_arrived": F.coalesce("ok", F.lit(False)), "_place": F.struct("created_at", "version", "event_id")}
+    )
+    # The first failure of each key: an aggregate, not a window, so a key may have any number of events.
+    failures = answered.where(~F.col("_arrived")).groupBy("feed", "business_key").agg(F.min("_place").alias("_failed_at"))
+    decided = answered.join(failures, ["feed", "business_key"], "left").withColumn(
+        "pass_result",
+        F.when(F.col("_place") > F.col("_failed_at"), F.lit("HELD_BACK"))
+        .when(F.col("_arrived"), F.lit("PUBLISHED"))
+        .otherwise(F.lit("FAILED")),
+    )
+    error = F.when(F.col("ok").isNull(), F.lit(NO_ANSWER)).otherwise(F.col("error"))
+    done = outbox.where(F.col("published_at").isNotNull()).withColumn("pass_result", F.lit(None).cast("string"))
+    return _after_pass(decided, error, now).select(*outbox.columns, "pass_result").unionByName(done)
+
+
+def _after_pass(decided: DataFrame, error: Column, now: Column) -> DataFrame:
+    """Bookkeeping of events with their pass_result."""
     published = F.col("pass_result") == "PUBLISHED"
-    updated = decided.withColumns(
+    tried = F.col("pass_result").isin("PUBLISHED", "FAILED")
+    return decided.withColumns(
         {
             "published_at": F.when(published, now).otherwise(F.col("published_at")),
             "attempts": F.when(tried, F.col("attempts") + 1).otherwise(F.col("attempts")),
             "last_error": F.when(published, F.lit(None).cast("string"))
-            .when(tried, F.left("_error", F.lit(ERROR_WIDTH)))
+            .when(tried, F.left(error, F.lit(ERROR_WIDTH)))
             .otherwise(F.col("last_error")),
         }
-    ).select(*outbox.columns, "pass_result")
-    done = outbox.where(F.col("published_at").isNotNull()).withColumn("pass_result", F.lit(None).cast("string"))
-    return updated.unionByName(done)
+    )
 
 
 def outbox_counts(outbox: DataFrame) -> DataFrame:

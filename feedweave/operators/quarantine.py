@@ -137,6 +137,15 @@ def quarantine_episodes(
     )
 
 
+def changed_rows(episodes: DataFrame) -> DataFrame:
+    """What a batch did to the open rows, one row for each key it did anything to: the row that is open now, or one
+    that closed.
+    """
+    changed = episodes.where(F.col("is_new") | (F.col("status") != OPEN))
+    now = F.max_by(F.struct(*COLUMNS), F.when(F.col("status") == OPEN, 1).otherwise(0))
+    return changed.groupBy(*KEYS).agg(now.alias("_row")).select("_row.*")
+
+
 def quarantine_append(episodes: DataFrame) -> DataFrame:
     """Rows the batch added: a version that was already open added none."""
     return episodes.where("is_new")

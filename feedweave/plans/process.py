@@ -84,10 +84,11 @@ def rejected_of(checked: DataFrame) -> DataFrame:
 
 @dataclass
 class BatchOutcome:
-    """What a batch changes in each table."""
+    """What a batch changes in each table; `state` is the destination after it, `changed` the rows that are new in it."""
 
     results: DataFrame
     state: DataFrame
+    changed: DataFrame
     events: DataFrame
     quarantine: DataFrame
     drift: DataFrame
@@ -118,6 +119,7 @@ def process_batch(
     return BatchOutcome(
         results=results,
         state=state_of(annotated),
+        changed=state_of(annotated, changed=True),
         events=change_events(results, spec.name, destination.key_name, destination.wire_names, run_id, now),
         quarantine=episodes,
         drift=drift_event_upsert(drift_events, findings, run_id, now),

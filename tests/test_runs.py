@@ -14,7 +14,7 @@ from feedweave.operators.outbox import consume_if_newer
 from feedweave.plans.run import FeedRunner
 from feedweave.sinks.publish import write_messages
 from feedweave.sinks.store import FeedStore
-from feedweave.streaming.driver import consume_if_newer_stream, follow_feed, page_stream
+from feedweave.streaming.driver import consume_dedup_stream, consume_if_newer_stream, follow_feed, page_stream
 from tests.test_records import CUSTOMER, ORDER, RECORD, changed
 
 T0 = datetime(2026, 3, 1, 10)
@@ -256,3 +256,180 @@ def test_a_failed_run_reports_nothing_loaded(spark, runner):
     run = runner.run_incremental(feed(spark, customer("a", 1), customer("b", 1, firstName="x" * 5000)))
     assert run["status"] == "FAILED" and counts(run)[1:] == (0, 0, 0, 0) and run["extracted"] == 0
     assert not run["drift_detected"] and runner.store.read_state().isEmpty()
+
+
+def layers(store, name="state"):
+    return {b: [tuple(x) for x in parts] for b, parts in store.last_commit()["tables"][name].items()}
+
+
+def test_a_run_writes_the_rows_it_changes(spark, tmp_path):
+    """1,000 keys, then a run that changes 10 of them: 10 rows are written, and the table reads as it should."""
+    store = FeedStore(spark, str(tmp_path / "s"), CUSTOMER_FEED, buckets=4)
+    runner = FeedRunner(CUSTOMER_FEED, store, Clock())
+    runner.run_incremental(feed(spark, *[customer(f"k{i}", 1) for i in range(1000)]))
+    before = layers(store)
+    assert sum(x[2] for parts in before.values() for x in parts) == 1000
+    run = runner.run_incremental(feed(spark, *[customer(f"k{i}", 9, tier="SILVER", deleted=i == 3) for i in range(10)]))
+    assert run["loaded"] == 10
+    after = layers(store)
+    assert all(after[b][: len(parts)] == parts for b, parts in before.items())
+    written = [x for parts in after.values() for x in parts if x[0] == 2]
+    assert sum(x[2] for x in written) == 10 and {x[1] for x in written} == {"change"}
+    rows = {r.business_key: r for r in store.read_state().collect()}
+    assert len(rows) == 1000 and store.read_state().count() == 1000
+    assert (rows["k2"].tier_rank, rows["k2"].version, rows["k20"].version) == (2, 2, 1) and rows["k3"].deleted_at is not None
+
+
+def test_buckets_are_folded_when_changes_outgrow_them(spark, tmp_path):
+    from feedweave.sinks.keyed_table import KeyedTable
+
+    table = KeyedTable(spark, str(tmp_path / "t"), "k string, v int", ["k"], 3, gone="v < 0", most_layers=3)
+    rows = lambda *pairs: spark.createDataFrame(list(pairs), "k string, v int")
+    layout, expected = {}, {}
+    for no in range(1, 15):
+        changes = {f"k{i}": -1 if (i + no) % 7 == 0 else no for i in range(0, 40, 1 + no % 5)} if no < 9 else {"k1": no}
+        layout = table.write(rows(*changes.items()), layout, no)
+        expected = {k: v for k, v in {**expected, **changes}.items() if v >= 0}
+        assert {r.k: r.v for r in table.read(layout).collect()} == expected
+    assert all(len(parts) <= 4 for parts in layout.values()) and any(x[1] == "fold" for parts in layout.values() for x in parts)
+    (bucket,) = table.touched(rows(("k1", 1)))
+    assert all(x[0] < 9 for b, parts in layout.items() if b != bucket for x in parts)
+    assert {r.k for r in table.read(layout, [bucket]).collect()} < set(expected)
+    layout = table.write(rows(*[(f"k{i}", -1) for i in range(40)]), layout, 15)
+    assert layout == {} and table.read(layout).isEmpty()
+
+
+def test_quarantine_leaves_other_buckets_alone(spark, runner):
+    runner.run_incremental(feed(spark, *[customer(f"k{i}", 1, email="nobody") for i in range(40)]))
+    before = layers(runner.store, "quarantine_open")
+    assert len(before) == 4 and runner.store.read_set("quarantine_open").count() == 40
+    runner.run_incremental(feed(spark, customer("k7", 2)))
+    after = layers(runner.store, "quarantine_open")
+    changed = [b for b in before if after[b] != before[b]]
+    assert len(changed) == 1 and after[changed[0]][-1][2] == 1
+    left = runner.store.read_set("quarantine_open")
+    assert left.count() == 39 and left.where("business_key = 'k7'").isEmpty()
+    # Another version of an open key: the old row closes and the new one takes its place.
+    runner.run_incremental(feed(spark, customer("k8", 3, email="nobody else")))
+    rows = runner.store.read_set("quarantine_open").where("business_key = 'k8'").collect()
+    assert [r.source_updated_at for r in rows] == [T0 + timedelta(minutes=3)]
+    closed = {r.business_key: r.resolution_note for r in runner.store.read_log("quarantine_closed").collect()}
+    assert closed == {"k7": "a newer version was loaded successfully", "k8": "superseded by a newer quarantined version"}
+
+
+def test_one_commit_is_opened(spark, runner):
+    for i in range(3):
+        runner.run_incremental(feed(spark, customer(f"k{i}", i + 1)))
+    commits = f"{runner.store.path}/commits"
+    # Older commits may be gone; only the newest is read.
+    for run_no in (1, 2):
+        for name in os.listdir(f"{commits}/run_no={run_no}"):
+            if name.endswith(".parquet"):
+                with open(f"{commits}/run_no={run_no}/{name}", "wb") as file:
+                    file.write(b"not a parquet file")
+    assert runner.store.last_commit()["run_no"] == 3 and runner.store.read_state().count() == 3
+
+
+def sender(folder, refused=()):
+    """A transport that runs in tasks: it notes each call in a file of its own and refuses some events."""
+
+    def send(events):
+        import uuid
+
+        rows = list(zip(events.column("business_key").to_pylist(), events.column("version").to_pylist(), strict=True))
+        with open(f"{folder}/{uuid.uuid4()}.json", "w") as file:
+            json.dump(rows, file)
+        return ["refused" if r in refused else None for r in rows]
+
+    return send
+
+
+def calls(folder):
+    found = sorted(folder.iterdir(), key=lambda f: f.stat().st_mtime_ns)
+    return [[tuple(r) for r in json.loads(f.read_text())] for f in found]
+
+
+@pytest.mark.parametrize("limit", [None, 2])
+def test_the_whole_outbox_is_delivered_by_tasks(spark, runner, tmp_path, limit):
+    tiers = ("GOLD", "SILVER", "BRONZE", "GOLD", "SILVER")
+    rows = [customer(f"k{k}", i, tier=tier) for i, tier in enumerate(tiers, 1) for k in range(6) if k != 4 or i == 1]
+    runner.run_incremental(feed(spark, *rows))
+    folder = tmp_path / "sent"
+    folder.mkdir()
+    refused = {("k1", 2), ("k2", 1), ("k3", 5)}
+    passed = {(r.business_key, r.version): r for r in runner.publish_all(sender(str(folder), refused), limit=limit).collect()}
+    sent = [e for call in calls(folder) for e in call]
+    assert len(sent) == len(set(sent)), "nothing is handed over twice"
+    assert all(len({k for k, _ in call}) == len(call) for call in calls(folder)), "one event of a key at a time"
+    for key in {k for k, _ in sent}:
+        assert [v for k, v in sent if k == key] == sorted(v for k, v in sent if k == key), "in the order of the key"
+    held = {("k1", 3), ("k1", 4), ("k1", 5), ("k2", 2), ("k2", 3), ("k2", 4), ("k2", 5)}
+    expected = {e: "FAILED" if e in refused else "HELD_BACK" if e in held else "PUBLISHED" for e in passed}
+    assert {e: r.pass_result for e, r in passed.items()} == expected and set(sent) == set(passed) - held
+    assert (passed["k2", 1].attempts, passed["k2", 1].last_error, passed["k2", 2].attempts) == (1, "refused", 0)
+    assert runner.store.read_set("outbox_pending").count() == len(held) + 3
+    again = runner.publish_all(sender(str(folder)), limit=limit)
+    assert {r.pass_result for r in again.collect()} == {"PUBLISHED"} and runner.store.read_set("outbox_pending").isEmpty()
+    assert runner.publish_all(sender(str(folder))).isEmpty(), "an empty outbox is no failure"
+    assert runner.store.read_log("outbox_published").count() == len(passed)
+
+
+def test_a_transport_must_answer_for_every_event(spark, runner):
+    runner.run_incremental(feed(spark, customer("a", 1)))
+    with pytest.raises(Exception, match="1 events were handed over and 0 answered"):
+        runner.publish_all(lambda events: []).collect()
+    assert runner.store.read_set("outbox_pending").count() == 1
+
+
+def test_a_bounded_read_goes_on_where_it_stopped(spark, runner, tmp_path):
+    pages = []
+    for n in range(1, 8):
+        docs = [customer(f"k{(n * 3 + i) % 5}", n, tier=["GOLD", "SILVER"][n % 2])[3] for i in range(3)]
+        pages.append((n, json.dumps({"items": docs, "nextCursor": "c" if n < 7 else None, "hasMore": n < 7})))
+    landed = spark.createDataFrame(pages, "page_no bigint, body string")
+    runs = [runner.run_next_pages(landed, 3) for _ in range(4)]
+    assert [r["extracted"] for r in runs] == [9, 9, 3, 0] and runner.store.last_commit()["last_page"] == 7
+    whole = FeedRunner(CUSTOMER_FEED, FeedStore(spark, str(tmp_path / "w"), CUSTOMER_FEED, buckets=4), Clock())
+    whole.run_pages(landed)
+    plain = ["business_key", "tier_rank", "source_updated_at", "version", "content_fingerprint"]
+    bounded, once = (sorted(r.store.read_state().select(*plain).collect()) for r in (runner, whole))
+    assert bounded == once and len(once) == 5
+    broken = spark.createDataFrame([*pages, (8, json.dumps({"items": [{"id": None}], "hasMore": False}))], "page_no bigint, body string")
+    assert runner.run_next_pages(broken, 3)["status"] == "FAILED" and runner.store.last_commit()["last_page"] == 7
+    later = customer("k9", 9)[3]
+    more = spark.createDataFrame([*pages, (8, json.dumps({"items": [later], "hasMore": False}))], "page_no bigint, body string")
+    assert runner.run_next_pages(more, 3)["loaded"] == 1 and runner.store.last_commit()["last_page"] == 8
+
+
+def test_stream_dedup_equals_the_batch_operator_whenever_an_event_repeats(spark, tmp_path):
+    """Repeats in the same batch, in the next one, after a restart, and after the state has forgotten the id."""
+    late = T0 - timedelta(hours=2)
+    rows = [(f"e{i % 11}", "f", f"k{i % 3}", "CREATED", i % 11, "{}", late if i > 30 else T0, None, 0, None) for i in range(40)]
+    events = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], OUTBOX + ", delivery_seq bigint")
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    deliver = lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")
+    for part in range(4):
+        events.where(F.floor(F.col("delivery_seq") / 10) == part).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        # A state that forgets at once leaves every later repeat to the table of ids.
+        consume_dedup_stream(stream, str(tmp_path / "seen"), deliver, str(tmp_path / "cp"), "0 seconds" if part else "1 hour").awaitTermination()
+    got = spark.read.schema(events.schema).parquet(out + "/*")
+    assert sorted(r.event_id for r in got.collect()) == sorted({f"e{i}" for i in range(11)})
+
+
+def test_a_later_batch_reads_and_writes_no_more_than_an_early_one(spark, tmp_path):
+    """Each batch brings two keys; what is written for a batch stays the same, and so do the layers it may read."""
+    from feedweave.streaming.driver import VERSIONS, Seen
+
+    index = Seen(spark, str(tmp_path / "seen"), VERSIONS, ["feed", "business_key"], 4)
+    sizes = []
+    for n in range(30):
+        batch = spark.createDataFrame([("f", f"k{n % 6}", n), ("f", f"k{(n + 1) % 6}", n)], VERSIONS)
+        layout = index.before(n)
+        index.add(batch, layout, n)
+        sizes.append(sum(x[2] for parts in index.before(n + 1).values() for x in parts))
+    assert max(sizes[20:]) <= max(sizes[6:14]) and index.table.read(index.before(30)).count() == 6
+    # A batch that is run again does not see itself.
+    assert index.table.read(index.before(0)).isEmpty()
+    with pytest.raises(ValueError, match="4 buckets, not 5"):
+        Seen(spark, str(tmp_path / "seen"), VERSIONS, ["feed", "business_key"], 5).before(3)

@@ -95,8 +95,9 @@ def merge_sink(spark, sf_dir):
     second = F.col("source_updated_at") > _at(SPLIT)
     for run_no, (part, at) in enumerate([(changes.where(~second), RUN_1_AT), (changes.where(second), RUN_2_AT)], 1):
         last = store.last_commit()
-        state = M.merged_state(part, store.read_state(store.touched(part), last), _at(at))
-        store.commit(last, run_no, f"run-{run_no}", None, [], sink(store, state, part, run_no))
+        merged = M.annotate(part, store.read_state(store.touched(part), last), _at(at))
+        written = sink(store, M.state_of(merged, changed=True), part, run_no, last)
+        store.commit(last, run_no, f"run-{run_no}", tables=written)
     return _state(store.read_state())
 
 
