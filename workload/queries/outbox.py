@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import partial
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedweave.feeds import Destination
 from feedweave.operators import outbox as O
-from feedweave.session import materialize
+from feedweave.session import materialize, shared_folder
 from feedweave.sinks.publish import publish_sink as messages
+from feedweave.streaming import driver as streams
 from workload.queries.merging import FOLD, RUN_2, RUN_2_AT, _at, event_results
 
 EVENTS = Destination("userKey", {"event_type": ("string", 20, "eventType")})
@@ -111,6 +115,36 @@ def consume_if_newer(spark, sf_dir):
     return newer.select("event_id", "business_key", "event_type", "version", "delivery_seq")
 
 
+def _streamed(spark, sf_dir, consume) -> DataFrame:
+    """The deliveries landed in four parts by their number and consumed as a stream, one part for each batch."""
+    columns = ["feed", "business_key", "event_id", "event_type", "version", "delivery_seq"]
+    rows = materialize(deliveries(spark, sf_dir).select(*columns))
+    folder = f"{shared_folder(spark)}/deliveries-{uuid4().hex}"
+    quarter = F.ceil(rows.agg(F.max("delivery_seq")).scalar() / 4)
+    parts = materialize(rows.withColumn("_part", F.floor((F.col("delivery_seq") - 1) / quarter)))
+    for part in range(4):
+        # A file stream takes files in the order they came.
+        parts.where(F.col("_part") == part).drop("_part").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+    def deliver(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+
+    consume(stream, f"{folder}/seen", deliver, f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{folder}/out")
+
+
+def consume_dedup_stream(spark, sf_dir):
+    """Once by Spark's state, which forgets at once, and the rest by the table of ids."""
+    consume = partial(streams.consume_dedup_stream, recent="0 seconds", buckets=8)
+    return _streamed(spark, sf_dir, consume).select("event_id", "business_key", "event_type", "version")
+
+
+def consume_if_newer_stream(spark, sf_dir):
+    consume = partial(streams.consume_if_newer_stream, buckets=8)
+    return _streamed(spark, sf_dir, consume).select("event_id", "business_key", "event_type", "version", "delivery_seq")
+
+
 def _iso(ts: str) -> str:
     return (
         f"strftime({ts}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us({ts}) % 1000000 = 0 THEN '' "
@@ -151,6 +185,8 @@ QUERIES = {
     "key_history_one": key_history_one,
     "consume_dedup": consume_dedup,
     "consume_if_newer": consume_if_newer,
+    "consume_dedup_stream": consume_dedup_stream,
+    "consume_if_newer_stream": consume_if_newer_stream,
 }
 ORACLES = {
     "change_events": f"{EVENTS_SQL} SELECT * FROM events_made",
@@ -174,6 +210,9 @@ ORACLES = {
     "publish_sink": f"""{EVENTS_SQL} SELECT '{PREFIX}.events' AS topic, business_key AS key, sha256(payload) AS value_hash FROM events_made""",
     "key_history": f"{OUTBOX_SQL} SELECT {SHOWN} FROM box",
     "key_history_one": f"{OUTBOX_SQL} SELECT {SHOWN} FROM box WHERE business_key = '7'",
+    "consume_dedup_stream": f"{DELIVERED} SELECT DISTINCT event_id, business_key, event_type, version FROM delivered",
+    "consume_if_newer_stream": f"""{DELIVERED} SELECT event_id, business_key, event_type, version, delivery_seq FROM delivered
+        QUALIFY version > coalesce(max(version) OVER (PARTITION BY business_key ORDER BY delivery_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1)""",
     "consume_dedup": f"{DELIVERED} SELECT DISTINCT event_id, business_key, event_type, version FROM delivered",
     "consume_if_newer": f"""{DELIVERED} SELECT event_id, business_key, event_type, version, delivery_seq FROM delivered
         QUALIFY version > greatest(coalesce(max(version) OVER (PARTITION BY business_key ORDER BY delivery_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1),

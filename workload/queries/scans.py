@@ -55,14 +55,19 @@ def feed_pages(spark, sf_dir):
     )
 
 
-def landed_pages(feed: DataFrame, connection: bool = False) -> DataFrame:
-    """The feed as landed page bodies of 100 records: a page is a group of a fixed size, whatever the keys are."""
+def landed_pages(feed: DataFrame, connection: bool = False, endless: bool = False) -> DataFrame:
+    """The feed as landed page bodies of 100 records: a page is a group of a fixed size, whatever the keys are.
+
+    Some pages say that the feed ends with them, unless it is endless.
+    """
     numbered = feed.select(F.expr(f"arrival_seq div {PAGE} + 1").alias("page_no"), "arrival_seq", "payload")
     item = F.concat(F.lit('{"node":'), F.col("payload"), F.lit("}")) if connection else F.col("payload")
     grouped = numbered.groupBy("page_no").agg(F.array_sort(F.collect_list(F.struct("arrival_seq", item.alias("p")))).alias("i"))
     listed = F.array_join(F.transform("i", lambda i: i["p"]), ",")
     cursor = F.when(F.col("page_no") % 97 == 60, F.lit("null")).otherwise(F.concat(F.lit('"c'), F.col("page_no"), F.lit('"')))
-    more = F.when(F.col("page_no") % 89 == 75, F.lit("false")).otherwise(F.lit("true"))
+    if endless:
+        cursor = F.concat(F.lit('"c'), F.col("page_no"), F.lit('"'))
+    more = F.when((F.col("page_no") % 89 == 75) & F.lit(not endless), F.lit("false")).otherwise(F.lit("true"))
     if connection:
         body = F.concat(
             F.lit('{"data":{"orders":{"edges":['), listed, F.lit('],"pageInfo":{"endCursor":'), cursor,
