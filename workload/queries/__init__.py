@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ("scans", "merging", "drift", "mapping", "quarantine", "drift_events", "runs", "outbox", "store_runs", "status")
+GROUPS = ("scans", "merging", "drift", "mapping", "quarantine", "drift_events", "runs", "outbox", "store_runs", "feed_runs", "status")
 
 
 def all_queries() -> dict:

@@ -155,7 +155,7 @@ def publish_run(spark, sf_dir):
     return given.groupBy("event_id", "business_key", "version").agg(F.count(F.lit(1)).alias("times"))
 
 
-def _rows_sql(run_sql: str) -> str:
+def _rows_sql(run_sql: str, feed: str = "customers") -> str:
     """Rows of the run log, counted from the fate of every record."""
     started = f"CASE run_no WHEN 1 THEN TIMESTAMP '{RUN_AT[1]}' WHEN 2 THEN TIMESTAMP '{RUN_AT[2]}' ELSE TIMESTAMP '{RUN_AT[3]}' END"
     return f"""WITH RECURSIVE {run_sql},
@@ -166,7 +166,7 @@ def _rows_sql(run_sql: str) -> str:
         CASE WHEN run_no < 3 THEN max(ts) END AS mark FROM fates GROUP BY run_no),
     marked AS (SELECT *, max(mark) OVER (ORDER BY run_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
         max(mark) OVER (ORDER BY run_no) AS after FROM counted)
-    SELECT 'customers-' || run_no AS run_id, 'customers' AS feed, CASE run_no WHEN 3 THEN 'BACKFILL' ELSE 'INCREMENTAL' END AS mode,
+    SELECT '{feed}-' || run_no AS run_id, '{feed}' AS feed, CASE run_no WHEN 3 THEN 'BACKFILL' ELSE 'INCREMENTAL' END AS mode,
       CASE run_no WHEN 3 THEN 'MANUAL' ELSE 'SCHEDULED' END AS trigger_type, CASE WHEN quarantined > 0 THEN 'PARTIAL' ELSE 'SUCCEEDED' END AS status,
       extracted, transformed, loaded, skipped, quarantined, 0 AS failed, drift_detected, max_lag_seconds, CAST(NULL AS VARCHAR) AS error_message,
       epoch_us(before) AS watermark_before_us, epoch_us(after) AS watermark_after_us, epoch_us({started}) AS started_at_us FROM marked"""
