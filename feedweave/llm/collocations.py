@@ -4,8 +4,8 @@ The layout is that of external n-gram estimation: counts are streams in sorted o
 phrases comes from reading two streams side by side.
 
 * **Prefix order.** Every word starts one window of up to three words that ends with its piece. Windows are counted
-  inside batches first, then range-partitioned and sorted by language and words, so that a task reads the counts of one,
-  two and three words off one pass over its range: all windows that start with a phrase stand together. Phrases that a
+  inside batches first, then dealt over ranges between sampled splitters and sorted by language and words, so that a task
+  reads the counts of one, two and three words off one pass over its range: all windows that start with a phrase stand together. Phrases that a
   range's first or last row belongs to may go on in the next range; their partial counts (two rows for each range and
   length at most) are added up. Rarer phrases than `least` end here: neither they nor longer ones can be candidates.
 * **Left and extension counts** come from the same order: a two-word phrase and the three-word phrases that it begins
@@ -35,6 +35,8 @@ LEAST = 10
 TOP = 2000
 SCALE = 1_000_000
 COVERED = 50
+SAMPLED_SHARE = 0.01
+SAMPLE = 50_000
 _BATCH_BYTES = 1 << 22
 _CHUNK = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -44,6 +46,8 @@ _BLANK[[9, 32]] = True
 _STOP = np.zeros(256, dtype=bool)
 _STOP[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _LARGE = pa.large_binary()
+#: How a language's own tabs are written: a vertical bar no longer stands alone, so the pairs can be told back.
+_ESCAPES = (("|", "|/"), ("\t", "|t"))
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -78,46 +82,82 @@ def _strings(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Array:
     )
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The different windows of `_CHUNK` words at a time with their counts, in byte order for each language."""
-    for batch in pieces(batches, "text", _BATCH_BYTES):
-        data, offsets = utf8(batch.column("text"))
-        data = _LOWER[data]
-        start, stop, text, size = _words(data, offsets)
-        names = batch.column("lang").dictionary_encode()
-        lang = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)[text]
-        for at in range(0, len(start), _CHUNK):
-            to = min(at + _CHUNK, len(start))
-            far = min(to + 2, len(start))
-            words = _strings(data[start[at] : stop[far - 1]], start[at:far] - start[at], stop[at:far] - start[at])
-            coded = words.dictionary_encode()
-            # Number 0 stands for no word; a chunk has fewer than 2^21 words.
-            ids = np.zeros(to - at + 2, dtype=np.int64)
-            ids[: far - at] = coded.indices.to_numpy().astype(np.int64) + 1
-            n = size[at:to]
-            key = ids[:-2] << 42 | np.where(n > 1, ids[1:-1], 0) << 21 | np.where(n > 2, ids[2:], 0)
-            # Each word ends with a blank, so that the windows that begin with a phrase stand together in byte order.
-            blank = pc.binary_join_element_wise(coded.dictionary, pa.scalar(b"", _LARGE), pa.scalar(b" ", _LARGE))
-            table = pa.concat_arrays([pa.array([b""], _LARGE), blank])
-            order = np.argsort(lang[at:to], kind="stable")
-            own = lang[at:to][order]
-            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
-            for first, last in zip(cuts, cuts[1:], strict=False):
-                head = names.dictionary[int(own[first])].as_py().encode() + b"\t"
-                yield from _rows(head, table, *np.unique(key[order[first:last]], return_counts=True))
-
-
-def _rows(head: bytes, words: pa.Array, key: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _windows(splitters: list[bytes]):
+    """The different windows of `_CHUNK` words at a time with their counts and the range that each falls in."""
+    ranges = _Ranges(splitters)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", _BATCH_BYTES):
+            data, offsets = utf8(batch.column("text"))
+            data = _LOWER[data]
+            start, stop, text, size = _words(data, offsets)
+            names = batch.column("lang").dictionary_encode()
+            lang = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)[text]
+            for at in range(0, len(start), _CHUNK):
+                to = min(at + _CHUNK, len(start))
+                far = min(to + 2, len(start))
+                words = _strings(data[start[at] : stop[far - 1]], start[at:far] - start[at], stop[at:far] - start[at])
+                coded = words.dictionary_encode()
+                # Number 0 stands for no word; a chunk has fewer than 2^21 words.
+                ids = np.zeros(to - at + 2, dtype=np.int64)
+                ids[: far - at] = coded.indices.to_numpy().astype(np.int64) + 1
+                n = size[at:to]
+                key = ids[:-2] << 42 | np.where(n > 1, ids[1:-1], 0) << 21 | np.where(n > 2, ids[2:], 0)
+                # Each word ends with a blank, so that the windows that begin with a phrase stand together in byte order.
+                blank = pc.binary_join_element_wise(coded.dictionary, pa.scalar(b"", _LARGE), pa.scalar(b" ", _LARGE))
+                table = pa.concat_arrays([pa.array([b""], _LARGE), blank])
+                order = np.argsort(lang[at:to], kind="stable")
+                own = lang[at:to][order]
+                cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+                for first, last in zip(cuts, cuts[1:], strict=False):
+                    head = names.dictionary[int(own[first])].as_py().encode() + b"\t"
+                    yield from _rows(head, table, ranges, *np.unique(key[order[first:last]], return_counts=True))
+
+    return found
+
+
+def _rows(head: bytes, words: pa.Array, ranges: _Ranges, key: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
     low = (1 << 21) - 1
     for at in range(0, len(key), 1 << 16):
         part = key[at : at + (1 << 16)]
         text = [words.take(pa.array(ids)) for ids in (part >> 42, part >> 21 & low, part & low)]
-        joined = pc.binary_join_element_wise(pa.scalar(head, _LARGE), *text, pa.scalar(b"", _LARGE))
+        joined = pc.binary_join_element_wise(pa.scalar(head, _LARGE), *text, pa.scalar(b"", _LARGE)).cast(pa.binary())
         yield pa.RecordBatch.from_pydict(
-            {"window": joined.cast(pa.binary()), "n": pa.array(count[at : at + (1 << 16)].astype(np.int64))}
+            {
+                "window": joined.cast(pa.string()),
+                "n": pa.array(count[at : at + (1 << 16)].astype(np.int64)),
+                "part": pa.array(ranges.of(joined)),
+            }
         )
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; the buffer ends with eight more bytes."""
+    return np.ndarray((len(data) - 7,), dtype="<u8", buffer=np.ascontiguousarray(data), strides=(1,))
+
+
+class _Ranges:
+    """Ranges of windows in byte order, between splitters."""
+
+    def __init__(self, splitters: list[bytes]):
+        self.splitters = np.array(sorted(set(splitters)), dtype=object)
+        self.heads = np.array([int.from_bytes(s[:8].ljust(8, b"\0"), "big") for s in self.splitters], dtype=np.uint64)
+
+    def of(self, windows: pa.Array) -> np.ndarray:
+        data, offsets = utf8(windows)
+        size = np.diff(offsets)
+        head = _eights(np.append(data, np.zeros(8, np.uint8)))[offsets[:-1]].byteswap()
+        beyond = np.maximum(8 - size, 0).astype(np.uint64) * np.uint64(8)
+        head = head >> beyond << beyond
+        part = np.searchsorted(self.heads, head, side="left")
+        # The first eight bytes decide for nearly all; the others are compared as a whole.
+        tied = np.flatnonzero(part < np.searchsorted(self.heads, head, side="right"))
+        if len(tied):
+            whole = np.array(windows.take(pa.array(tied)).to_pylist(), dtype=object)
+            part[tied] = np.searchsorted(self.splitters, whole, side="right")
+        return part.astype(np.int32)
+
+
 class _Level:
     """Counts of the phrases of one length on a pass over sorted windows; the last phrase stays open between batches."""
 
@@ -136,8 +176,8 @@ class _Level:
         yield from self.closed()
         sums = np.add.reduceat(counts, starts)
         for i in np.flatnonzero((sums >= self.least) | (self.first & (np.arange(len(sums)) == 0))).tolist():
-            if i < len(sums) - 1 and name(i):
-                yield name(i), int(sums[i]), self.first and i == 0
+            if i < len(sums) - 1 and (phrase := name(i)):
+                yield phrase, int(sums[i]), self.first and i == 0
         self.first = self.first and len(sums) == 1
         self.open, self.count = name(len(sums) - 1), int(sums[-1])
 
@@ -161,16 +201,18 @@ def _ends(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 
 def _common(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Leading bytes that each window has in common with the one before."""
+    """Leading bytes that each window has in common with the one before, eight bytes at a time."""
     begin, size = offsets[:-1], np.diff(offsets)
+    least = np.append(0, np.minimum(size[1:], size[:-1]))
+    eights = _eights(np.append(data, np.zeros(8, np.uint8)))
     common = np.zeros(len(size), dtype=np.int64)
-    going, step = np.flatnonzero(np.minimum(size[1:], size[:-1]) > 0) + 1, 0
+    going = np.flatnonzero(least > 0)
     while len(going):
-        going = going[data[begin[going] + step] == data[begin[going - 1] + step]]
-        step += 1
-        common[going] = step
-        going = going[np.minimum(size[going], size[going - 1]) > step]
-    return common
+        differ = eights[begin[going] + common[going]] ^ eights[begin[going - 1] + common[going]]
+        equal = (np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) >> 3).astype(np.int64)
+        common[going] += np.where(differ == 0, 8, equal)
+        going = going[(differ == 0) & (common[going] < least[going])]
+    return np.minimum(common, least)
 
 
 def _counted(least: int):
@@ -181,7 +223,7 @@ def _counted(least: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = pa.concat_arrays([pa.array([before], pa.binary()), batch.column("window")])
+            rows = pa.concat_arrays([pa.array([before.decode()], pa.string()), batch.column("window")])
             data, offsets = utf8(rows)
             counts = batch.column("n").to_numpy()
             ends = [x[1:] for x in _ends(data, offsets)]
@@ -206,20 +248,36 @@ def _counted(least: int):
 def _found(rows: list[tuple[int, bytes, int, bool]]) -> pa.RecordBatch:
     level, phrase, n, edge = zip(*rows, strict=True) if rows else ((), (), (), ())
     return pa.RecordBatch.from_arrays(
-        [pa.array(level, pa.int32()), pa.array(phrase, pa.binary()), pa.array(n, pa.int64()), pa.array(edge, pa.bool_())],
+        [pa.array(level, pa.int32()), pa.array([p.decode() for p in phrase], pa.string()), pa.array(n, pa.int64()), pa.array(edge, pa.bool_())],
         names=["level", "phrase", "n", "edge"],
     )
 
 
+def _splitters(source: DataFrame, parts: int) -> list[bytes]:
+    """Bounds of ranges with about as many windows each, from a sample of `SAMPLE` windows at most.
+
+    They only say which task counts a window: results don't depend on them. Spark's own range partitioning would take
+    its sample from a pass over all texts.
+    """
+    some = source.sample(SAMPLED_SHARE, seed=7).mapInArrow(_windows([]), "window string, n bigint, part int")
+    drawn = some.select("window").orderBy(F.xxhash64("window"), "window").limit(SAMPLE).collect()
+    drawn = sorted(row[0].encode() for row in drawn)
+    return [drawn[len(drawn) * k // parts] for k in range(1, parts)] if len(drawn) >= parts else drawn[: parts - 1]
+
+
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST) -> DataFrame:
     """Counts (level, lang, words, n) of phrases of one to three words with `least` occurrences; level 0: all words."""
-    source = docs.select(
-        column(text).alias("text"), F.hex(F.encode(F.coalesce(column(lang), F.lit("und")), "UTF-8")).alias("lang")
-    )
-    windows = source.mapInArrow(_windows, "window binary, n bigint").repartitionByRange("window")
+    # A tab ends the language in a window, so a language's own tabs are written in another way.
+    named = F.coalesce(column(lang), F.lit("und"))
+    for plain, written in _ESCAPES:
+        named = F.replace(named, F.lit(plain), F.lit(written))
+    source = docs.select(column(text).alias("text"), named.alias("lang"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = source.mapInArrow(_windows(_splitters(source, parts)), "window string, n bigint, part int")
+    windows = found.repartitionById(parts, "part").select("window", "n")
     counted = stored(
         windows.sortWithinPartitions("window").mapInArrow(
-            _counted(least), "level int, phrase binary, n bigint, edge boolean"
+            _counted(least), "level int, phrase string, n bigint, edge boolean"
         ),
         "phrases",
     )
@@ -227,11 +285,14 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
         (F.col("level") == 0) | (F.col("n") >= least)
     )
     whole = counted.where("not edge").select("level", "phrase", "n").unionAll(edges)
-    parts = F.split(F.col("phrase").cast("string"), "\t")
+    parts = F.split(F.col("phrase"), "\t")
+    named = parts[0]
+    for plain, written in reversed(_ESCAPES):
+        named = F.replace(named, F.lit(written), F.lit(plain))
     return stored(
         whole.select(
             "level",
-            F.decode(F.unhex(parts[0]), "UTF-8").alias("lang"),
+            named.alias("lang"),
             F.when(F.col("level") > 0, F.split(F.rtrim(parts[1]), " ")).alias("words"),
             "n",
         ),

@@ -54,7 +54,7 @@ def talk(seed, n=60):
     rng = random.Random(seed)
     vocabulary = ["The", "the", "of", "new", "york", "Straße", "x\x01", "a", "b", "-", "\x1f", "é"]
     text = lambda: "".join(rng.choice(vocabulary) + rng.choice([" ", " ", " ", "  ", "\t", ". ", "\n", " ,"]) for _ in range(rng.randint(0, 60)))
-    rows = [(i, text(), rng.choice(["en", "de", None, "und", "a\tb", ""])) for i in range(n)]
+    rows = [(i, text(), rng.choice(["en", "de", None, "und", "a\tb", "", "a|tb", "|/\t|"])) for i in range(n)]
     return rows + [(90, None, "en"), (91, "", None), (92, " .. ", "fr"), (None, "new york " * 30, "en"), rows[0], rows[0]]
 
 
