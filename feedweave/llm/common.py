@@ -36,6 +36,20 @@ def carried(df: DataFrame, *results: str) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
+class Aside:
+    """Columns of the user under names of no meaning, so that none can meet a name that an operator uses inside."""
+
+    def __init__(self, names: list[str]):
+        self.names = names
+        self.inner = [f"_c{i}" for i in range(len(names))]
+
+    def out(self) -> list[Column]:
+        return [column(n).alias(i) for n, i in zip(self.names, self.inner, strict=True)]
+
+    def back(self) -> list[Column]:
+        return [F.col(i).alias(n) for n, i in zip(self.names, self.inner, strict=True)]
+
+
 def extended(df: DataFrame, names: list[str], results: str) -> T.StructType:
     """Schema of the named columns and the results (DDL)."""
     return T.StructType([df.schema[n] for n in names] + T.StructType.fromDDL(results).fields)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import carried, column, extended, ints, stored
+from feedweave.llm.common import Aside, carried, column, extended, ints, stored
 from feedweave.llm.prefix import placed, totals
 from feedweave.llm.units import PUNCTUATION, U64, Words, mixed, pieces, signed, utf8
 
@@ -323,11 +323,9 @@ def mark_contaminated(
         "grams",
     )
     blocks = [r["block"] for r in blocked.select("block").distinct().orderBy("block").collect()]
-    names = carried(docs, *RESULTS)
-    marked = docs.select(
-        *[column(n) for n in names], folded(column(text)).alias("_text"), F.array().cast(_TYPE).alias("matches")
-    )
-    schema = extended(docs, names, f"_text string, matches {_TYPE}")
+    aside = Aside(carried(docs, *RESULTS))
+    marked = docs.select(*aside.out(), folded(column(text)).alias("_text"), F.array().cast(_TYPE).alias("matches"))
+    schema = extended(marked, aside.inner, f"_text string, matches {_TYPE}")
     for block in blocks:
         part = blocked.where(F.col("block") == block).select("item", "words_of").toArrow()
         counts = spread.where(F.col("block") == block).select("gram", "items").toArrow()
@@ -343,4 +341,4 @@ def mark_contaminated(
             (grams[by_gram], in_items[by_gram]),
         )
         marked = marked.mapInArrow(_marker(held, least_score, stretch), schema)
-    return marked.drop("_text")
+    return marked.select(*aside.back(), "matches")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import carried, column, ints, stored
+from feedweave.llm.common import Aside, carried, column, ints, stored
 from feedweave.llm.components import components
 from feedweave.llm.units import U64, Words, mixed, pieces, signed, utf8
 
@@ -51,7 +51,8 @@ class Shingles:
         n = len(words.codes)
         hashed = np.zeros(n, dtype=U64)
         for k in range(size):
-            hashed[: n - k] = mixed(hashed[: n - k] * U64(0x9E3779B97F4A7C15) + words.codes[k:])
+            m = max(n - k, 0)
+            hashed[:m] = mixed(hashed[:m] * U64(0x9E3779B97F4A7C15) + words.codes[k:])
         owner = np.repeat(np.arange(len(counts)), counts)
         place = np.arange(n) - words.offsets[:-1][owner]
         full = place + size <= counts[owner]
@@ -304,12 +305,11 @@ def mark_near_duplicates(
     names = carried(docs, *RESULTS) if carry is None else carry
     of_text = documents.groupBy("text_key").agg(F.first("key").alias("key"), F.first("n").alias("n_shingles"))
     of_text = of_text.join(classes, "key", "left").select("text_key", "key", "n_shingles", "component")
-    rows = docs.select(
-        *[column(n) for n in names], column(doc_id).cast("bigint").alias("_doc"), F.xxhash64(column(text)).alias("text_key")
-    )
+    aside = Aside(names)
+    rows = docs.select(*aside.out(), column(doc_id).cast("bigint").alias("_doc"), F.xxhash64(column(text)).alias("text_key"))
     component = F.when(F.col("key").isNull(), F.col("_doc")).otherwise(F.col("component"))
     return rows.join(of_text, "text_key").select(
-        *[column(n) for n in names],
+        *aside.back(),
         "n_shingles",
         component.alias("component_id"),
         F.coalesce(F.col("_doc") == component, F.lit(False)).alias("kept"),
@@ -329,11 +329,12 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **t
     row = F.xxhash64("text_key", "doc").alias("_row")
     chosen = of_group.select("first.*").select(row, F.lit(False).alias("_every"))
     empty = documents.where("key is null").select(row, F.col("doc").isNull().alias("_every")).distinct()
+    aside = Aside(docs.columns)
     rows = docs.select(
-        *map(column, docs.columns),
+        *aside.out(),
         F.xxhash64(F.xxhash64(column(text)), column(doc_id).cast("bigint")).alias("_row"),
         F.xxhash64(*map(column, docs.columns)).alias("_content"),
     )
     order = F.row_number().over(Window.partitionBy("_row").orderBy("_content"))
     found = rows.join(chosen.union(empty), "_row").withColumn("_turn", order)
-    return found.where("_turn = 1 or _every").select(*map(column, docs.columns))
+    return found.where("_turn = 1 or _every").select(*aside.back())

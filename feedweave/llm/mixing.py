@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import carried, column
+from feedweave.llm.common import Aside, carried, column
 from feedweave.llm.prefix import placed
 
 WEIGHTS = (5, 2, 1)
@@ -154,10 +154,10 @@ def mix(
     `draws` has an entry for each time a document is taken: pass, shard, block, words and place (the order inside the
     shard). `carry` names the columns to hand on, all by default.
     """
-    names = carried(docs, *RESULTS) if carry is None else carry
+    aside = Aside(carried(docs, *RESULTS) if carry is None else carry)
     rows = placed(
         docs.select(
-            *[column(n) for n in names],
+            *aside.out(),
             column(source).alias("_source"),
             F.coalesce(F.regexp_count(column(text), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
             F.xxhash64(F.lit(seed), column(doc_id), column(text)).alias("_place"),
@@ -196,7 +196,7 @@ def mix(
 
     turns = F.filter(F.array(*[draw(t) for t in range(MOST_REPEATS)]), lambda d: d["words"] > 0)
     return joined.withColumn("draws", turns).select(
-        *[column(n) for n in names],
+        *aside.back(),
         "size",
         "source_size",
         "target",
@@ -205,9 +205,14 @@ def mix(
     )
 
 
-def drawn(mixed: DataFrame) -> DataFrame:
-    """One row for each time a document is taken, with its shard and its place there; write it sorted by `place`."""
-    names = carried(mixed, *RESULTS, "shard", "place", "words")
-    return mixed.select(*[column(n) for n in names], F.explode("draws").alias("_draw")).select(
-        *[column(n) for n in names], "_draw.shard", "_draw.place", "_draw.words"
-    )
+def drawn(mixed: DataFrame, least_share: float = 0.0) -> DataFrame:
+    """One row for each time a document is taken: its shard, its place there and how many of its words are taken.
+
+    Draws that take less than `least_share` of a document are left out. Rows come out sorted by place inside each
+    shard, shards dealt over tasks by ranges, so that writing them keeps a shard's order.
+    """
+    aside = Aside(carried(mixed, *RESULTS, "shard", "place", "words"))
+    enough = F.filter("draws", lambda d: d["words"] >= F.col("size") * least_share)
+    rows = mixed.select(*aside.out(), F.explode(enough).alias("_draw")).select(*aside.inner, "_draw.shard", "_draw.place", "_draw.words")
+    ordered = rows.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place")
+    return ordered.select(*aside.back(), "shard", "place", "words")

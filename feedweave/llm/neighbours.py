@@ -4,7 +4,8 @@ The tree is fitted on a bounded sample (`SAMPLE` vectors, chosen by a hash of ve
 leaves; every vector is indexed, each in the leaf it descends to. A query walks the tree with a priority queue, always
 into the nearest branch not yet visited, and takes the first leaves it reaches. How many leaves it has to visit is
 calibrated: the exact neighbours of `CALIBRATION` queries are found by brute force over all vectors, and the visits are
-widened until those would have been found with recall `recall`.
+widened until those would have been found with recall `recall`. A query whose leaves hold fewer than k candidates goes on
+to further ones, so it gets k neighbours, or all there are.
 
 Vectors get one more component, which makes the largest inner product the nearest vector. Leaves of any size are
 searched in blocks of vectors times blocks of queries, so that neither a leaf that holds a third of all vectors nor
@@ -193,7 +194,9 @@ def nearest(
     """query_id, rank, vec_id and score of the k nearest vectors of each query (vec_id divisible by `query_every`)."""
     rows, size = usable(vectors, vec_id, embedding)
     queries = (
-        rows.where(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+        rows.where(F.col("vec_id") % query_every == 0)
+        .groupBy("vec_id")
+        .agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("own"))
         .withColumnRenamed("vec_id", "query_id")
     )
     if not size:
@@ -242,15 +245,29 @@ def nearest(
     while visits < tree.leaves and weight[depth < visits].sum() < recall * weight.sum():
         visits = min(tree.leaves, visits + max(1, visits // 8))
 
+    # One row for each leaf, and the tree bounds the leaves.
+    held = np.zeros(tree.leaves, dtype=np.int64)
+    for leaf, n in indexed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect():
+        held[leaf] = n
+
+    def leaves_for(point: np.ndarray, own: int) -> list[int]:
+        """The first leaves, and further ones until they hold k candidates for sure."""
+        most = visits
+        while True:
+            leaves = shared.value.visits(point, most)
+            if len(leaves) < most or held[leaves].sum() >= k + own:
+                return leaves
+            most *= 2
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             points = _query_points(_matrix(batch.column("v"), size), longest)
-            leaves = [shared.value.visits(q, visits) for q in points]
+            leaves = [leaves_for(q, own) for q, own in zip(points, ints(batch.column("own")), strict=True)]
             yield batch.append_column("leaves", pa.array(leaves, pa.list_(pa.int32())))
 
-    routed = stored(queries.mapInArrow(route, "query_id bigint, v array<double>, leaves array<int>"), "routed")
+    routed = stored(queries.mapInArrow(route, "query_id bigint, v array<double>, own bigint, leaves array<int>"), "routed")
     # One row for each leaf, and the tree bounds the leaves.
     of_leaf = indexed.groupBy("leaf").agg(F.count(F.lit(1)).alias("rows"))
     of_query = routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("asked"))

@@ -53,7 +53,8 @@ SELECT
     length(body) // 2 AS n_bytes,
     coalesce(n_removed, 0) AS n_removed,
     coalesce(n_spans, 0) AS n_spans,
-    sha256(unhex(coalesce(rest, ''))) AS kept_sha256
+    sha256(unhex(coalesce(rest, ''))) AS kept_sha256,
+    length(coalesce(rest, '')) // 2 AS kept_bytes
 FROM texts LEFT JOIN kept USING (doc_id)
 """
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import carried, column, extended
+from feedweave.llm.common import Aside, carried, column, extended
 from feedweave.llm.units import pieces
 
 # A difference cover of the remainders modulo 31.
@@ -280,16 +280,15 @@ def collapse_runs(
 
     `change(value of the column key, words)` may give other words than the text's.
     """
-    names = carried(docs, *RESULTS)
-    inner = [f"_c{i}" for i in range(len(names))]
+    aside = Aside(carried(docs, *RESULTS))
     source = docs.select(
-        *[column(n).alias(i) for n, i in zip(names, inner, strict=True)],
+        *aside.out(),
         column(text).alias("_text"),
         *([column(key).alias("_key")] if change else []),
     )
     results = "n_words bigint, n_runs bigint, runs array<struct<start: bigint, length: bigint, period: bigint>>, kept_text string"
-    found = source.mapInArrow(_collapsed(change), extended(source, inner, results))
-    return found.select(*[F.col(i).alias(n) for n, i in zip(names, inner, strict=True)], *RESULTS)
+    found = source.mapInArrow(_collapsed(change), extended(source, aside.inner, results))
+    return found.select(*aside.back(), *RESULTS)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import carried, column, extended, ints
+from feedweave.llm.common import Aside, carried, column, extended, ints
 from feedweave.llm.units import PUNCTUATION, U64, Fingerprints, Words, byte_codes, mixed, pieces, utf8
 
 SAMPLE = 40_000
@@ -214,14 +214,12 @@ def score_quality(
     sample: int = SAMPLE,
 ) -> DataFrame:
     """The documents with held_out, score (higher: label 1 likelier) and predicted (1 from `cut`)."""
-    names = carried(docs, *RESULTS)
-    rows = docs.select(
-        *[column(n) for n in names], column(doc_id).cast("bigint").alias("_doc"), column(text).alias("_text")
-    )
+    aside = Aside(carried(docs, *RESULTS))
+    rows = docs.select(*aside.out(), column(doc_id).cast("bigint").alias("_doc"), column(text).alias("_text"))
     model = fit(rows.select("_doc", "_text"), labels, sample)
-    scored = rows.mapInArrow(_scorer(model), extended(docs, names, "_doc bigint, score double"))
+    scored = rows.mapInArrow(_scorer(model), extended(rows, aside.inner, "_doc bigint, score double"))
     return scored.select(
-        *[column(n) for n in names],
+        *aside.back(),
         F.coalesce(fold(F.col("_doc")) == 0, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= cut).cast("int").alias("predicted"),

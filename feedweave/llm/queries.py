@@ -65,7 +65,8 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), carry=["doc_id"])
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    draws = {"blocks": "draws.block", "shards": "draws.shard", "places": "draws.place"}
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", *[F.col(c).alias(n) for n, c in draws.items()])
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

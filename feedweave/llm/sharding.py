@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import carried, column
+from feedweave.llm.common import Aside, carried, column
 from feedweave.llm.prefix import placed, totals
 
 SHARDS = 16
@@ -35,11 +35,11 @@ def shard_by_bytes(
 
     `carry` names the columns to hand on, all by default; texts that nobody needs are not moved.
     """
-    names = carried(docs, *RESULTS) if carry is None else carry
+    aside = Aside(carried(docs, *RESULTS) if carry is None else carry)
     body = F.coalesce(column(text), F.lit(""))
     rows = placed(
         docs.select(
-            *[column(n) for n in names],
+            *aside.out(),
             (F.octet_length(body) + 1).cast("bigint").alias("size"),
             F.crc32(body.cast("binary")).alias("text_crc32"),
             F.xxhash64(body).alias("_text_hash"),
@@ -63,7 +63,7 @@ def shard_by_bytes(
     firsts = F.broadcast(cut.groupBy("shard").agg(F.min("_row").alias("_first")))  # one row for each shard
     numbered = cut.join(firsts, "shard").select("_part", "_slot", "shard", (F.col("_row") - F.col("_first")).alias("slot"))
     return rows.join(numbered, ["_part", "_slot"]).select(
-        *[column(n) for n in names],
+        *aside.back(),
         "size",
         "text_crc32",
         F.lit(LAW).alias("law"),

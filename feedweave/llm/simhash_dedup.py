@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import carried, column, extended, stored
+from feedweave.llm.common import Aside, carried, column, extended, stored
 from feedweave.llm.components import components
 from feedweave.llm.units import U64, pieces, signed
 
@@ -212,13 +212,13 @@ def mark_simhash_duplicates(
 ) -> DataFrame:
     """The documents with `fingerprint` (16 hex digits) and `component_id` (smallest doc_id reachable by links)."""
     names = carried(docs, *RESULTS) if carry is None else carry
-    inner = [f"_c{i}" for i in range(len(names))]
+    aside = Aside(names)
     source = docs.select(
-        *[column(n).alias(i) for n, i in zip(names, inner, strict=True)],
+        *aside.out(),
         column(doc_id).cast("bigint").alias("_doc"),
         column(text).alias("_text"),
     )
-    schema = extended(source, [*inner, "_doc"], "_print bigint")
+    schema = extended(source, [*aside.inner, "_doc"], "_print bigint")
     rows = stored(source.mapInArrow(_fingerprints(words), schema), "prints")
     prints = stored(rows.groupBy("_print").agg(F.min("_doc").alias("_least")), "distinct-prints")
     found = components(links(prints.select("_print"), bits)).select(F.col("node").alias("_print"), "root")
@@ -229,7 +229,7 @@ def mark_simhash_duplicates(
         "_print", F.when(F.col("_component").isNotNull(), F.col("_component")).otherwise(F.col("_least")).alias("_component")
     )
     return rows.join(of_print, "_print").select(
-        *[F.col(i).alias(n) for n, i in zip(names, inner, strict=True)],
+        *aside.back(),
         F.lower(F.lpad(F.hex("_print"), 16, "0")).alias("fingerprint"),
         F.col("_component").alias("component_id"),
     )

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import carried, column, extended, ints, merged, stored
+from feedweave.llm.common import Aside, carried, column, extended, ints, merged, stored
 from feedweave.llm.units import U64, Anchors, Fingerprints, Words, mixed, pieces, signed, utf8
 
 LENGTH = 50
@@ -211,15 +211,15 @@ def remove_repeated_words(
         .groupBy("key")
         .agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
     )
-    names = carried(docs, *RESULTS)
+    aside = Aside(carried(docs, *RESULTS))
     rows = docs.select(
-        *[column(n) for n in names],
+        *aside.out(),
         column(text).alias("_text"),
-        F.xxhash64(column(doc_id), column(text)).alias("_key"),
+        F.xxhash64(column(doc_id), column(text)).alias("key"),
     )
-    joined = rows.join(spans, rows["_key"] == spans["key"], "left").select(*[column(n) for n in names], "_text", "_spans")
+    joined = rows.join(spans, "key", "left").select(*aside.inner, "_text", "_spans")
     results = "n_words bigint, kept_text string, spans array<struct<start: bigint, end: bigint>>"
-    return joined.mapInArrow(_cut, extended(docs, names, results))
+    return joined.mapInArrow(_cut, extended(rows, aside.inner, results)).select(*aside.back(), *RESULTS)
 
 
 def digest(removed: DataFrame) -> DataFrame:

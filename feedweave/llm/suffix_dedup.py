@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import carried, column, extended, ints, merged, stored
+from feedweave.llm.common import Aside, carried, column, extended, ints, merged, stored
 from feedweave.llm.units import (
     U64,
     Anchors,
@@ -319,14 +319,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, **
         .groupBy("key")
         .agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
     )
-    names = carried(docs, *RESULTS)
-    rows = docs.select(
-        *[column(n) for n in names], column(text).alias("_text"), F.xxhash64(column(text)).alias("_key")
-    )
-    joined = rows.join(spans, rows["_key"] == spans["key"], "left").select(*[column(n) for n in names], "_text", "_spans")
-    return joined.mapInArrow(
-        _cut, extended(docs, names, "kept binary, spans array<struct<start: bigint, end: bigint>>")
-    )
+    aside = Aside(carried(docs, *RESULTS))
+    rows = docs.select(*aside.out(), column(text).alias("_text"), F.xxhash64(column(text)).alias("key"))
+    joined = rows.join(spans, "key", "left").select(*aside.inner, "_text", "_spans")
+    results = "kept binary, spans array<struct<start: bigint, end: bigint>>"
+    return joined.mapInArrow(_cut, extended(rows, aside.inner, results)).select(*aside.back(), *RESULTS)
 
 
 def digest(removed: DataFrame) -> DataFrame:
@@ -338,4 +335,5 @@ def digest(removed: DataFrame) -> DataFrame:
         span.alias("n_removed"),
         F.size("spans").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        F.octet_length("kept").cast("bigint").alias("kept_bytes"),
     )

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import carried, column, extended
+from feedweave.llm.common import Aside, carried, column, extended
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
@@ -155,11 +155,11 @@ def count_tokens(
     docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, limit: int = LIMIT
 ) -> DataFrame:
     """The documents with n_bytes, n_tokens and over_limit. `vocabulary`: a public tokenizer's name, or a path."""
-    names = carried(docs, *RESULTS)
+    aside = Aside(carried(docs, *RESULTS))
     rows = docs.select(
-        *[column(n) for n in names],
+        *aside.out(),
         F.coalesce(F.octet_length(column(text)), F.lit(0)).cast("bigint").alias("n_bytes"),
         column(text).alias("_text"),
     )
-    counted = rows.mapInArrow(_counting(vocabulary), extended(docs, names, "n_bytes bigint, n_tokens bigint"))
-    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+    counted = rows.mapInArrow(_counting(vocabulary), extended(rows, aside.inner, "n_bytes bigint, n_tokens bigint"))
+    return counted.select(*aside.back(), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -29,6 +29,8 @@ from feedweave.llm.common import column, scratch, stored
 
 LEAST_BYTES = 100
 SPLIT_BYTES = 8 << 20
+#: Beyond so many splits, a task reads several one after the other.
+MOST_TASKS = 100_000
 DATE = "2024-01-01T00:00:00Z"
 _MAGIC = b"\x1f\x8b\x08"
 _HEADER_BYTES = 8192
@@ -242,7 +244,9 @@ def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, payloads:
     schema = (
         "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string"
     )
-    return splits.repartition("path", "start").mapInArrow(
+    # A split is a row of a few bytes: without a number of its own, adaptive execution would read them all in one task.
+    found = manifest.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
+    return splits.repartition(min(int(found), MOST_TASKS), "path", "start").mapInArrow(
         _reader(payloads), schema + (", payload binary" if payloads else "")
     )
 

@@ -274,3 +274,34 @@ def test_a_long_passage_of_a_longer_item_is_found(spark):
     assert got[2] == [(2, pytest.approx(20 / 59), 25, 44)]
     assert got[3] == [] and got[6] == [(2, 1.0, 25, 83)]
     assert [m[0] for m in got[4]] == [1] and [m[0] for m in got[5]] == [2]
+
+
+@pytest.mark.parametrize("count", [1, 2, 15, 21, 22, 25])
+def test_small_tables_give_every_candidate_or_k(spark, count):
+    rng = np.random.default_rng(count)
+    rows = [(i * 10, [float(c) for c in rng.normal(size=6)]) for i in range(count)]
+    rows.append(rows[0])  # the query's own vector once more
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), sample=12, leaves=6).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    for query in {i for i, _ in rows if i % 20 == 0}:
+        candidates = sum(i != query for i, _ in rows)
+        assert len(found.get(query, [])) == min(20, candidates) and query not in found.get(query, [])
+
+
+def test_every_split_has_a_task_of_its_own(spark, tmp_path):
+    """Small splits are not put into one task by adaptive execution."""
+    from pyspark.sql import functions as F
+
+    pages = spark.range(60).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.sha2(F.col("id").cast("string"), 512), F.lit(9)).alias("html"))
+    manifest = warc.write_archives(pages.repartition(3), folder=str(tmp_path))
+    back = warc.read_archives(manifest, split_bytes=2000, payloads=False)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    tasks = back.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert sum(r["count"] for r in tasks) == 60 and len(tasks) > 3
+
+
+def test_an_empty_table_of_pages(spark):
+    pages = spark.createDataFrame([], "page_id bigint, url string, html string")
+    assert warc.round_trip(spark, pages).collect() == []

@@ -38,7 +38,7 @@ def brute_bytes(rows, length):
                 gone[p : p + length] = b"\x01" * length
         kept = bytes(c for c, g in zip(t, gone, strict=True) if not g)
         spans = [s for s in bytes(gone).split(b"\x00") if s]
-        out.append((doc, len(t), sum(gone), len(spans), hashlib.sha256(kept).hexdigest()))
+        out.append((doc, len(t), sum(gone), len(spans), hashlib.sha256(kept).hexdigest(), len(kept)))
     return out
 
 
