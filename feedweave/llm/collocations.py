@@ -35,7 +35,7 @@ LEAST = 10
 TOP = 2000
 SCALE = 1_000_000
 COVERED = 50
-SAMPLED_SHARE = 0.01
+SAMPLED_DOCS = 2_000
 SAMPLE = 50_000
 _BATCH_BYTES = 1 << 22
 _CHUNK = 1 << 20
@@ -254,13 +254,18 @@ def _found(rows: list[tuple[int, bytes, int, bool]]) -> pa.RecordBatch:
 
 
 def _splitters(source: DataFrame, parts: int) -> list[bytes]:
-    """Bounds of ranges with about as many windows each, from a sample of `SAMPLE` windows at most.
+    """Bounds of ranges with about as many windows each, from some windows of about `SAMPLED_DOCS` documents.
 
     They only say which task counts a window: results don't depend on them. Spark's own range partitioning would take
-    its sample from a pass over all texts.
+    its sample from the windows of all texts.
     """
-    some = source.sample(SAMPLED_SHARE, seed=7).mapInArrow(_windows([]), "window string, n bigint, part int")
-    drawn = some.select("window").orderBy(F.xxhash64("window"), "window").limit(SAMPLE).collect()
+    rows = source.count()
+    share = min(1.0, SAMPLED_DOCS / max(rows, 1))
+    some = source.sample(share, seed=7) if share < 1 else source
+    windows = some.mapInArrow(_windows([]), "window string, n bigint, part int").select("window")
+    # About 32 documents' worth of windows, whatever the number of tasks that bring them.
+    thin = max(1, min(rows, SAMPLED_DOCS) // 32)
+    drawn = windows.where(F.pmod(F.xxhash64("window"), F.lit(thin)) == 0).limit(SAMPLE).collect()
     drawn = sorted(row[0].encode() for row in drawn)
     return [drawn[len(drawn) * k // parts] for k in range(1, parts)] if len(drawn) >= parts else drawn[: parts - 1]
 
