@@ -12,7 +12,7 @@ from feedweave.llm import (
     quality,
     sharding,
 )
-from feedweave.llm.common import column, stored, table
+from feedweave.llm.common import Aside, column, stored, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,10 +33,13 @@ def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; a cut document at the end of a quota if at least half is taken."""
-    mixed = mixing.mix(docs)
-    whole = F.filter("draws", lambda d: d["words"] * 2 >= F.col("size"))
-    return mixed.withColumn("draws", whole).select(*map(column, docs.columns), F.explode("draws")).drop("col")
+    """Each document as often as the mix takes it, in the order of the mix's shards.
+
+    A document cut at the end of a quota comes along if at least half of it is taken.
+    """
+    aside = Aside(docs.columns)
+    mixed = mixing.mix(docs.select(*aside.out(), *map(column, ("source", "text", "doc_id"))), carry=aside.inner)
+    return mixing.drawn(mixed, least_share=0.5).select(*aside.back())
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
