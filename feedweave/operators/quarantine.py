@@ -182,16 +182,17 @@ def unknown_ids(quarantine: DataFrame, decisions: DataFrame, key: str = "quarant
     return decisions.join(quarantine.select(key), key, "left_anti")
 
 
-def quarantine_replay(quarantine: DataFrame, ids: DataFrame) -> DataFrame:
+def quarantine_replay(quarantine: DataFrame, ids: DataFrame, at: datetime | Column | None = None) -> DataFrame:
     """Stored payloads of the named rows as feed records, ready for the same pipeline. Only OPEN rows qualify.
 
-    They are no deletes, keep the quarantined version, and are processed in the order they were quarantined.
+    They are no deletes, keep the quarantined version (`at`, the time of the replay, where they have none), and are
+    processed in the order they were quarantined.
     """
     chosen = quarantine.join(ids.select("quarantine_id").distinct(), "quarantine_id", "left_semi")
     return chosen.where(F.col("status") == OPEN).select(
         "quarantine_id",
         *KEYS,
-        "source_updated_at",
+        (F.col("source_updated_at") if at is None else F.coalesce("source_updated_at", _moment(at))).alias("source_updated_at"),
         F.lit(False).alias("deleted"),
         "payload",
         F.unix_micros("quarantined_at").alias("arrival_seq"),

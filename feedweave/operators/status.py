@@ -10,6 +10,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedweave.functions.ordering import rows_at
 from feedweave.functions.text import whole_seconds
 from feedweave.operators.drift import severity
 from feedweave.operators.runs import FAILED, PARTIAL, RUNNING, SUCCEEDED
@@ -167,15 +168,14 @@ def mttr(drift: DataFrame) -> DataFrame:
     return drift.agg(_mean_seconds("detected_at", "resolved_at").alias("mttr_seconds"))
 
 
-def _page(df: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
-    """One page of a listing with its page facts. Offset and limit on a sort are a top-k, not a full sort."""
+def _page(df: DataFrame, newest: str, then: str, page: int, size: int) -> DataFrame:
+    """One page of a listing with its page facts. The first pages are a top-k; those far back are found by their rank."""
     if page < 0 or not 1 <= size <= MAX_PAGE:
         raise ValueError(f"page must not be negative and size must be between 1 and {MAX_PAGE}")
     total = df.agg(F.count(F.lit(1))).scalar()
     return (
-        df.orderBy(*order)
-        .offset(page * size)
-        .limit(size)
+        rows_at(df, newest, then, page * size, size)
+        .orderBy(F.desc_nulls_last(newest), F.asc(then))
         .withColumns(
             {
                 "page": F.lit(page),
@@ -193,7 +193,7 @@ def list_runs(runs: DataFrame, feed: str | None = None, page: int = 0, size: int
         runs = runs.where(F.col("feed") == feed)
     # Whole milliseconds of the elapsed time, not the difference of two rounded clocks.
     millis = F.floor((F.unix_micros("finished_at") - F.unix_micros("started_at")) / F.lit(1000)).cast("bigint")
-    return _page(runs, [F.desc("started_at"), F.asc("run_id")], page, size).withColumn("duration_ms", millis)
+    return _page(runs, "started_at", "run_id", page, size).withColumn("duration_ms", millis)
 
 
 def list_quarantine(
@@ -203,7 +203,7 @@ def list_quarantine(
     rows = quarantine.where(F.col("status") == status)
     if feed is not None:
         rows = rows.where(F.col("feed") == feed)
-    return _page(rows, [F.desc("quarantined_at"), F.asc("quarantine_id")], page, size)
+    return _page(rows, "quarantined_at", "quarantine_id", page, size)
 
 
 def list_drift(drift: DataFrame, status: str | None = None, page: int = 0, size: int = 20) -> DataFrame:
@@ -214,7 +214,7 @@ def list_drift(drift: DataFrame, status: str | None = None, page: int = 0, size:
         seconds = whole_seconds(F.col(start), F.col(end))
         return F.when(seconds.isNotNull(), F.greatest(F.lit(0), seconds))
 
-    return _page(rows, [F.desc("detected_at"), F.asc("event_id")], page, size).withColumns(
+    return _page(rows, "detected_at", "event_id", page, size).withColumns(
         {
             "severity": severity(F.col("kind")),
             "time_to_detect_seconds": clamped("source_changed_at", "detected_at"),

@@ -100,8 +100,9 @@ class FeedRunner:
         if refused is not None:
             raise ValueError(f"quarantined record {refused[0]} is {refused[1]}, only OPEN records can be replayed")
         mark = read_watermark(self.store.read_set("watermark"), self.spec.name)
-        records = Q.quarantine_replay(open_rows, ids).drop("quarantine_id")
-        return self._execute(self._start(REPLAY, MANUAL, mark), lambda: records, replayed=ids)
+        run = self._start(REPLAY, MANUAL, mark)
+        records = Q.quarantine_replay(open_rows, ids, run["started_at"]).drop("quarantine_id")
+        return self._execute(run, lambda: records, replayed=ids)
 
     def _start(self, mode: str, trigger: str, mark: datetime | None) -> dict:
         last = self.store.last_commit()

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedweave.functions.keyed import STRETCH, cut_by_rows, highest, last, total, walk_keys
-from feedweave.functions.ordering import number_rows
+from feedweave.functions.ordering import number_rows, rows_at
 from feedweave.operators import merge as M
 from feedweave.operators import quarantine as Q
 from feedweave.operators.dedup import dedup_in_run
@@ -202,3 +202,19 @@ def test_number_rows_is_dense_and_ordered(spark):
     rows = number_rows(df, "k", "id").orderBy("position").collect()
     assert [r.position for r in rows] == list(range(1, 5001))
     assert [(r.k, r.id) for r in rows] == sorted((r.k, r.id) for r in rows)
+
+
+@pytest.mark.parametrize("most", [1, 7, 60, 10_000])
+def test_pages_are_found_by_their_rank(spark, most):
+    """Times that tie, one time that very many rows share, and rows without a time."""
+    rng = random.Random(3)
+    start = datetime(2026, 1, 1)
+    times = [start + timedelta(minutes=rng.randint(0, 40)) for _ in range(150)] + [start + timedelta(minutes=20)] * 120 + [None] * 30
+    rows = [(t, f"id{i:03d}") for i, t in enumerate(times)]
+    rng.shuffle(rows)
+    table = spark.createDataFrame(rows, "at timestamp, id string").repartition(3)
+    ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] - start).total_seconds() if r[0] else 0, r[1]))
+    for first, count in ((0, 10), (95, 10), (150, 20), (260, 15), (290, 20), (400, 5)):
+        got = [tuple(r) for r in rows_at(table, "at", "id", first, count, most).collect()]
+        assert sorted(got, key=repr) == sorted(ordered[first : first + count], key=repr)
+    assert rows_at(table.where("false"), "at", "id", 500, 5, 1).collect() == []

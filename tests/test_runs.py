@@ -433,3 +433,13 @@ def test_a_later_batch_reads_and_writes_no_more_than_an_early_one(spark, tmp_pat
     assert index.table.read(index.before(0)).isEmpty()
     with pytest.raises(ValueError, match="4 buckets, not 5"):
         Seen(spark, str(tmp_path / "seen"), VERSIONS, ["feed", "business_key"], 5).before(3)
+
+
+def test_a_record_without_a_version_is_replayed_as_of_now(spark):
+    from feedweave.operators.quarantine import SCHEMA, quarantine_replay
+
+    row = ("q", "customers", "a", "r", "DRIFT", "d", "{}", None, T0, "OPEN", None, None)
+    rows = spark.createDataFrame([row, ("p", *row[1:7], T0, *row[8:])], SCHEMA)
+    ids = spark.createDataFrame([("q",), ("p",)], "quarantine_id string")
+    later = T0 + timedelta(hours=1)
+    assert {r.quarantine_id: r.source_updated_at for r in quarantine_replay(rows, ids, later).collect()} == {"q": later, "p": T0}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedweave.feeds import FEEDS, registered_feeds
+from feedweave.functions.ordering import rows_at
 from feedweave.operators import status as S
 from workload.derived import derived, derived_sql
 from workload.tables import table
@@ -105,6 +106,13 @@ def list_runs(spark, sf_dir):
     return _us(S.list_runs(runs(spark, sf_dir), "orders", page=2, size=50), "started_at", "finished_at")
 
 
+def list_runs_deep(spark, sf_dir):
+    """The page in the middle of the run log, found by its rank."""
+    log = runs(spark, sf_dir)
+    page = log.count() // 2 // 20
+    return _us(rows_at(log, "started_at", "run_id", page * 20, 20, most=50), "started_at", "finished_at")
+
+
 def list_quarantine(spark, sf_dir):
     return _us(S.list_quarantine(quarantine(spark, sf_dir), "customers", page=1, size=200), "quarantined_at")
 
@@ -166,6 +174,7 @@ QUERIES = {
     "mttd": mttd,
     "mttr": mttr,
     "list_runs": list_runs,
+    "list_runs_deep": list_runs_deep,
     "list_quarantine": list_quarantine,
     "list_drift": list_drift,
     "run_series": run_series,
@@ -190,6 +199,8 @@ ORACLES = {
     "list_runs": f"WITH {RUNS_SQL} " + _paged("runs", "feed = 'orders'", "started_at DESC, run_id", 2, 50,
         "* REPLACE (epoch_us(started_at) AS started_at, epoch_us(finished_at) AS finished_at), (epoch_us(finished_at) - epoch_us(started_at)) // 1000 AS duration_ms")
         .replace("ORDER BY started_at", "ORDER BY runs.started_at"),
+    "list_runs_deep": f"""WITH {RUNS_SQL}, numbered AS (SELECT *, row_number() OVER (ORDER BY started_at DESC, run_id) - 1 AS pos, count(*) OVER () // 2 // 20 AS page FROM runs)
+        SELECT * EXCLUDE (pos, page) REPLACE (epoch_us(started_at) AS started_at, epoch_us(finished_at) AS finished_at) FROM numbered WHERE pos // 20 = page""",
     "list_quarantine": f"WITH {LIFE_SQL}, {QUARANTINE_SQL} " + _paged("quarantine", "feed = 'customers' AND status = 'OPEN'", "quarantine.quarantined_at DESC, quarantine_id", 1, 200,
         "* REPLACE (epoch_us(quarantined_at) AS quarantined_at)"),
     "list_drift": f"WITH {DRIFT_SQL} " + _paged("drift", "true", "drift.detected_at DESC, event_id", 3, 100,
