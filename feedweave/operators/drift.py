@@ -6,6 +6,8 @@ one projection, without a join or a shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,7 @@ FINGERPRINT_WIDTH = 256
 
 DOCUMENT = "_document"
 TYPES = "_types"
+MEMBERS = "_members"
 
 
 def with_document(records: DataFrame) -> DataFrame:
@@ -37,10 +40,26 @@ def with_document(records: DataFrame) -> DataFrame:
     return records.withColumn(DOCUMENT, J.parse(F.col("payload")))
 
 
+def _objects(contract: Contract) -> list[str]:
+    """The root and the declared objects, whose members are looked at."""
+    return ["", *[field.path for field in contract.fields if field.type == "OBJECT"]]
+
+
+def _members(contract: Contract, parent: str) -> Column:
+    return F.col(MEMBERS)[f"m{_objects(contract).index(parent)}"]
+
+
+def _member(contract: Contract, field: Field) -> Column:
+    return F.try_element_at(_members(contract, field.parent), F.lit(field.name))
+
+
 def with_types(records: DataFrame, contract: Contract) -> DataFrame:
-    """Look up the JSON type of every declared field once: an array in contract order."""
-    types = [J.json_type_or_null(J.node(F.col(DOCUMENT), field.path)) for field in contract.fields]
-    return with_document(records).withColumn(TYPES, F.array(*types))
+    """Flatten the objects of the payload once, and look up the JSON type of every declared field once: an array in
+    contract order.
+    """
+    flat = [J.members(F.col(DOCUMENT), parent).alias(f"m{i}") for i, parent in enumerate(_objects(contract))]
+    parsed = with_document(records).withColumn(MEMBERS, F.struct(*flat))
+    return parsed.withColumn(TYPES, F.array(*[J.json_type_or_null(_member(contract, f)) for f in contract.fields]))
 
 
 def _type(contract: Contract, field: Field) -> Column:
@@ -61,45 +80,46 @@ def _finding(kind: str, field: Column, expected: Column, actual: Column, details
     )
 
 
-def _missing(contract: Contract, field: Field) -> Column:
+#: What a check says of a field: a condition and the finding it stands for; the first condition that holds counts.
+Cases = list[tuple[Column, Column]]
+
+
+def _missing(contract: Contract, field: Field) -> Cases:
     if not field.required:
-        return F.lit(None).cast(FINDING)
+        return []
     found = _finding(
         MISSING, F.lit(field.path), F.lit(field.type), F.lit(None), F.lit(f"required field '{field.path}' is missing")
     )
-    return F.when(_is_absent(_type(contract, field)), found)
+    return [(_is_absent(_type(contract, field)), found)]
 
 
-def _retyped(contract: Contract, field: Field) -> Column:
+def _retyped(contract: Contract, field: Field) -> Cases:
     actual = _type(contract, field)
     details = F.concat(F.lit(f"field '{field.path}' is "), actual, F.lit(f", expected {field.type}"))
     found = _finding(RETYPED, F.lit(field.path), F.lit(field.type), actual, details)
-    return F.when(~_is_absent(actual) & (actual != field.type), found)
+    return [(~_is_absent(actual) & (actual != field.type), found)]
 
 
-def _out_of_domain(contract: Contract, field: Field) -> Column:
+def _out_of_domain(contract: Contract, field: Field) -> Cases:
     if field.allowed is None:
-        return F.lit(None).cast(FINDING)
-    text = F.try_variant_get(F.col(DOCUMENT), f"$.{field.path}", "string")
+        return []
+    text = J.as_text(_member(contract, field))
     domain = sorted(field.allowed)
     details = F.concat(F.lit(f"field '{field.path}' has value '"), text, F.lit(f"' outside [{', '.join(domain)}]"))
     found = _finding(OUT_OF_DOMAIN, F.lit(field.path), F.lit("|".join(domain)), text, details)
-    return F.when((_type(contract, field) == "STRING") & ~text.isin(*domain), found)
+    return [((_type(contract, field) == "STRING") & ~text.isin(*domain), found)]
 
 
-def _declared(contract: Contract, field: Field) -> Column:
+def _declared(contract: Contract, field: Field) -> Cases:
     """At most one finding per declared field: absent, else of another type, else outside its value set."""
-    return F.coalesce(_missing(contract, field), _retyped(contract, field), _out_of_domain(contract, field))
+    return _missing(contract, field) + _retyped(contract, field) + _out_of_domain(contract, field)
 
 
 def _is_complete(contract: Contract) -> Column:
     """Whether the contract declares every field there is: the usual case, told without walking the payload."""
 
     def surplus(parent: str) -> Column:
-        if parent:
-            names = F.map_keys(F.try_variant_get(F.col(DOCUMENT), f"$.{parent}", "map<string,variant>"))
-        else:
-            names = F.json_object_keys("payload")
+        names = F.map_keys(_members(contract, parent))
         declared = F.array(*[F.lit(field.name) for field in contract.children(parent)])
         return F.coalesce(F.size(F.array_except(names, declared)), F.lit(0))
 
@@ -197,11 +217,22 @@ def drift_renamed(findings: Column) -> Column:
         return F.concat(kept, renames)
 
     collapsed = F.aggregate(missing, start, choose, lambda state: collapse(state["pairs"]))
-    return F.when((F.size(missing) > 0) & (F.size(added) > 0), collapsed).otherwise(findings)
+    # A pair takes two findings; most records have none.
+    return F.when(F.size(findings) < 2, findings).when((F.size(missing) > 0) & (F.size(added) > 0), collapsed).otherwise(findings)
 
 
-def _check_fields(contract: Contract, check) -> Column:
-    return F.array_compact(F.array(*[check(contract, field) for field in contract.fields])).cast(FINDINGS)
+def _check_fields(contract: Contract, check: Callable[[Contract, Field], Cases]) -> Column:
+    """What a check finds, in contract order. Lists are joined, not filtered: filters are not compiled."""
+    none, found = F.array().cast(FINDINGS), []
+    for field in contract.fields:
+        cases = check(contract, field)
+        if cases:
+            (condition, finding), *others = cases
+            column = F.when(condition, F.array(finding).cast(FINDINGS))
+            for condition, finding in others:
+                column = column.when(condition, F.array(finding).cast(FINDINGS))
+            found.append(column.otherwise(none))
+    return F.concat(*found) if found else none
 
 
 def drift_findings(records: DataFrame, contract: Contract, skip: Column | None = None) -> DataFrame:
@@ -213,11 +244,11 @@ def drift_findings(records: DataFrame, contract: Contract, skip: Column | None =
     if skip is not None:
         found = F.when(~skip, found).otherwise(F.array().cast(FINDINGS))
     checked = with_types(records, contract).withColumn("_raw_findings", found)
-    return compute_once(checked, findings=drift_renamed(F.col("_raw_findings"))).drop("_raw_findings", TYPES)
+    return compute_once(checked, findings=drift_renamed(F.col("_raw_findings"))).drop("_raw_findings", TYPES, MEMBERS)
 
 
 def _only(records: DataFrame, contract: Contract, findings: Column) -> DataFrame:
-    return compute_once(with_types(records, contract), findings=findings).drop(DOCUMENT, TYPES)
+    return compute_once(with_types(records, contract), findings=findings).drop(DOCUMENT, TYPES, MEMBERS)
 
 
 def drift_missing(records: DataFrame, contract: Contract) -> DataFrame:

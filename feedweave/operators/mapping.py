@@ -33,11 +33,14 @@ def _alias(path: str) -> str:
     return path.replace(".", "_")
 
 
-def _raw(document: Column, path: str, kind: str) -> Column:
+def _parent(path: str) -> str:
+    return path.rpartition(".")[0]
+
+
+def _raw(node: Column, kind: str) -> Column:
     """What stands in the payload, null where it is absent or of no use for this kind of read."""
-    node = J.node(document, path)
     if kind in (TEXT, INSTANT):
-        return J.text_at(document, path)
+        return F.when(F.schema_of_variant(node) == "STRING", J.as_text(node))
     if kind == INTEGER:
         return F.when(F.schema_of_variant(node) == "BIGINT", F.try_variant_get(node, "$", "bigint"))
     if kind == AMOUNT:
@@ -60,10 +63,21 @@ class PayloadFields:
         self.prefix = prefix
 
     @staticmethod
-    def raw(document: Column, **kinds: str | list[str]) -> Column:
-        return F.struct(
-            *[_raw(document, path, kind).alias(_alias(path)) for kind, paths in kinds.items() for path in paths]
-        )
+    def members(document: Column, **kinds: list[str]) -> Column:
+        """The objects that hold these fields, each as one flat map. As a column of its own it is made once."""
+        parents = sorted({_parent(path) for paths in kinds.values() for path in paths})
+        return F.struct(*[J.members(document, parent).alias(f"in_{_alias(parent)}") for parent in parents])
+
+    @staticmethod
+    def raw(document: Column, members: Column | None = None, **kinds: list[str]) -> Column:
+        """`members`: the column that holds the flat maps; without it the document is walked for each field."""
+
+        def node(path: str) -> Column:
+            if members is None:
+                return J.node(document, path)
+            return F.try_element_at(members[f"in_{_alias(_parent(path))}"], F.lit(path.rpartition(".")[2]))
+
+        return F.struct(*[_raw(node(path), kind).alias(_alias(path)) for kind, paths in kinds.items() for path in paths])
 
     def _get(self, path: str) -> Column:
         return self.fields[_alias(path)]
@@ -144,7 +158,13 @@ def _verdict(records: DataFrame, skip: Column, unreadable: Column, violations: C
         failure_kind=F.col("_kind"),
         errors=F.coalesce(errors, V.no_errors()),
         canonical=F.when(~skip & F.col("_kind").isNull(), F.col("_read.record")),
-    ).drop("_unreadable", "_violations", "_kind", "_broken", "_raw", "_read", "_lines", DOCUMENT)
+    ).drop("_unreadable", "_violations", "_kind", "_broken", "_raw", "_read", "_lines", "_flat", DOCUMENT)
+
+
+def _with_raw(records: DataFrame, skip: Column, fields: dict[str, list[str]]) -> DataFrame:
+    """The raw fields of a payload, read from the flat maps of its objects."""
+    flat = with_document(records).withColumn("_flat", F.when(~skip, PayloadFields.members(F.col(DOCUMENT), **fields)))
+    return flat.withColumn("_raw", F.when(~skip, PayloadFields.raw(F.col(DOCUMENT), F.col("_flat"), **fields)))
 
 
 def _then(first: Column, second: Column, clean: Column) -> Column:
@@ -158,8 +178,7 @@ def map_customer(records: DataFrame, skip: Column | None = None) -> DataFrame:
     Payloads of skipped records (tombstones unless told otherwise) are not read.
     """
     skip = F.col("deleted") if skip is None else skip
-    raw = PayloadFields.raw(
-        F.col(DOCUMENT),
+    fields = dict(
         text=[
             "address.line1",
             "address.line2",
@@ -220,7 +239,7 @@ def map_customer(records: DataFrame, skip: Column | None = None) -> DataFrame:
         country_error,
     )
     after_address = V.collect(tags_error, created_error, updated_error)
-    parsed = with_document(records).withColumn("_raw", F.when(~skip, raw)).withColumn(
+    parsed = _with_raw(records, skip, fields).withColumn(
         "_read",
         F.when(
             ~skip,
@@ -249,8 +268,7 @@ def _order_line(raw: Column, index: Column) -> Column:
 def map_order(records: DataFrame, skip: Column | None = None) -> DataFrame:
     """Order payloads to canonical orders: adds `canonical`, `failure_kind` and `errors`."""
     skip = F.col("deleted") if skip is None else skip
-    raw = PayloadFields.raw(
-        F.col(DOCUMENT),
+    fields = dict(
         text=["customerId", "status", "total.currency"],
         amount=["total.amount"],
         list=["lines"],
@@ -267,10 +285,8 @@ def map_order(records: DataFrame, skip: Column | None = None) -> DataFrame:
     raw_lines = F.transform(
         elements, lambda e: PayloadFields.raw(e, text=["sku"], integer=["quantity"], amount=["unitPrice"])
     )
-    parsed = (
-        with_document(records)
-        .withColumn("_raw", F.when(~skip, raw))
-        .withColumn("_lines", F.when(~skip, F.coalesce(F.transform(raw_lines, _order_line), F.array())))
+    parsed = _with_raw(records, skip, fields).withColumn(
+        "_lines", F.when(~skip, F.coalesce(F.transform(raw_lines, _order_line), F.array()))
     )
     lines = F.transform("_lines", lambda item: item["line"])
     record = F.struct(

@@ -9,8 +9,13 @@ DEFAULT_ROWS_PER_GROUP = 1_000_000
 
 
 def pin_session(spark: SparkSession) -> SparkSession:
-    """Feed clocks are instants: every operator expects the session to run in UTC."""
+    """Feed clocks are instants: every operator expects the session to run in UTC.
+
+    Checks of whole records make long methods. Above 8,000 bytes the JVM never compiles a method, so such a stage is
+    better run operator by operator, where expressions are split over short methods.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 
