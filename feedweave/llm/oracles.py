@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries whose whole result SQL can express.
 
-The others have none: learnt trees, token merging and alignment are not SQL, shards and mixes follow the order of a
-hash that DuckDB lacks, and a neighbour search is held against brute force by its recall.
+The others have none: learnt trees, token merging and alignment are not SQL, mixes and fingerprints follow a hash that
+DuckDB lacks, all runs of a text are too slow there, and a neighbour search is held against brute force by its recall.
 """
 
 OP1 = """
@@ -235,9 +235,61 @@ FROM ranked JOIN totals USING (lang)
 WHERE rank <= 2000
 """
 
+OP4 = r"""
+WITH RECURSIVE steps AS (
+    SELECT range::BIGINT AS i, range::BIGINT AS c, 0 AS k FROM range(256)
+    UNION ALL
+    SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8
+),
+crc AS (
+    SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8
+),
+sized AS (
+    SELECT
+        doc_id,
+        coalesce(doc_id, 9223372036854775807) AS d,
+        octet_length(encode(coalesce(text, ''))) + 1 AS size,
+        md5(coalesce(text, '')) AS h,
+        list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes
+    FROM documents
+),
+placed AS (
+    SELECT *, sum(size) OVER w - size AS start, row_number() OVER w AS n
+    FROM sized WINDOW w AS (ORDER BY h, d ROWS UNBOUNDED PRECEDING)
+),
+target AS (
+    SELECT sum(size)::DOUBLE / 16 AS t FROM sized
+),
+grouped AS (
+    SELECT
+        *,
+        count(*) OVER same AS copies,
+        sum(size) OVER same AS group_size,
+        min(start) OVER same AS group_start
+    FROM placed WINDOW same AS (PARTITION BY h)
+),
+cut AS (
+    SELECT
+        g.*,
+        least(floor(CASE WHEN copies > 1 AND group_size <= t * CAST(0.01 AS DOUBLE) THEN group_start ELSE start END / t), 15)::INT
+            AS shard
+    FROM grouped AS g, target
+)
+SELECT
+    doc_id,
+    size,
+    xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32,
+    'bytes' AS law,
+    shard,
+    n - min(n) OVER (PARTITION BY shard) AS slot,
+    CAST(NULL AS INTEGER) AS grown_shard
+FROM cut, crc
+"""
+
 ORACLES: dict[str, str] = {
     "op1_suffix_dedup": OP1,
     "op2_substring_dedup": OP2,
+    "op4_sharding": OP4,
     "op7_minhash_dedup": OP7,
     "op8_warc": OP8,
     "op11_collocations": OP11,

@@ -1,6 +1,6 @@
 """Sharding by bytes: contiguous shards of nearly equal size.
 
-Rows are put in one global order, equal texts next to each other, and global byte-size prefix sums are taken from
+Rows are put in one global order (by the MD5 of the text, then doc_id), equal texts next to each other, and global byte-size prefix sums are taken from
 per-partition totals. The byte axis is cut at equal targets; a document belongs to the shard in which its bytes begin.
 Equal texts stay in one shard as long as together they are small against a shard (`tight` of the target); larger
 groups are cut like everything else. A shard differs from its target by a document and a small group at most.
@@ -42,7 +42,7 @@ def shard_by_bytes(
             *aside.out(),
             (F.octet_length(body) + 1).cast("bigint").alias("size"),
             F.crc32(body.cast("binary")).alias("text_crc32"),
-            F.xxhash64(body).alias("_text_hash"),
+            F.md5(body.cast("binary")).alias("_text_hash"),
             F.coalesce(column(doc_id).cast("bigint"), F.lit((1 << 63) - 1)).alias("_doc"),
         ),
         "_text_hash",
