@@ -35,6 +35,7 @@ LEAST = 10
 TOP = 2000
 SCALE = 1_000_000
 COVERED = 50
+PARTS = 32
 SAMPLED_DOCS = 2_000
 SAMPLE = 50_000
 _BATCH_BYTES = 1 << 22
@@ -348,8 +349,13 @@ def ranked_phrases(counts: DataFrame, top: int = TOP, covered: int = COVERED) ->
     scored = numbers.withColumn("cut", chosen).select(
         "lang", F.array_join("words", " ").alias("phrase"), F.col("a").cast("bigint").alias("a"), "cut.l", "cut.r", "cut.score"
     )
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    # The best of parts of a language first, so that what meets in the last step does not grow with the tasks.
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
+    of_part = F.row_number().over(Window.partitionBy("lang", part).orderBy(*order))
+    some = scored.withColumn("rank", of_part).where(F.col("rank") <= top)
+    best = Window.partitionBy("lang").orderBy(*order)
+    ranked = some.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
     totals = counts.where("level = 0").select("lang", "n")
     return ranked.join(totals, "lang").select(
         "lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score"
