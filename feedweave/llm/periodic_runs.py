@@ -193,12 +193,16 @@ def find_runs(words: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple
         text, at, q, reach, low = (x[inside] for x in (text, at, q, reach, low))
         far = extensions.of(low, low + q) >= at - low
         text, at, q, reach, low = (x[far] for x in (text, at, q, reach, low))
-        least_start = np.maximum(begin[text], 0)
+        least_start = begin[text]
         while len(going := np.flatnonzero(least_start < low)):
             middle = (least_start[going] + low[going]) // 2
             reaches = extensions.of(middle, middle + q[going]) >= low[going] - middle
             low[going[reaches]] = middle[reaches]
             least_start[going[~reaches]] = middle[~reaches] + 1
+        # The grid positions of one stretch follow each other, and find the same.
+        once = np.ones(len(low), dtype=bool)
+        once[1:] = (low[1:] != low[:-1]) | (q[1:] != q[:-1]) | (text[1:] != text[:-1])
+        text, q, reach, low = (x[once] for x in (text, q, reach, low))
         found.append((text, low - begin[text], reach - low + q, q))
     text, start, size, q = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.lexsort((q, size, start, text))
