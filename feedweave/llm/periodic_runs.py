@@ -186,6 +186,10 @@ def find_runs(words: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple
             continue
         extensions = extensions or Extensions(words)
         reach = at + extensions.of(at, at + q)
+        # The grid positions of one stretch follow each other and reach equally far; one of them is enough.
+        once = np.ones(len(at), dtype=bool)
+        once[1:] = (reach[1:] != reach[:-1]) | (q[1:] != q[:-1])
+        text, at, q, reach = (x[once] for x in (text, at, q, reach))
         # The stretch of positions equal to the one q further on must hold 3 * q of them, and 6 - q.
         least = np.maximum((LEAST_POWER - 1) * q, LEAST_WORDS - q)
         low = np.minimum(at, reach - least)
@@ -199,10 +203,6 @@ def find_runs(words: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple
             reaches = extensions.of(middle, middle + q[going]) >= low[going] - middle
             low[going[reaches]] = middle[reaches]
             least_start[going[~reaches]] = middle[~reaches] + 1
-        # The grid positions of one stretch follow each other, and find the same.
-        once = np.ones(len(low), dtype=bool)
-        once[1:] = (low[1:] != low[:-1]) | (q[1:] != q[:-1]) | (text[1:] != text[:-1])
-        text, q, reach, low = (x[once] for x in (text, q, reach, low))
         found.append((text, low - begin[text], reach - low + q, q))
     text, start, size, q = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.lexsort((q, size, start, text))
