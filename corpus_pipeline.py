@@ -33,13 +33,13 @@ def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, in the order of the mix's shards.
+    """Each document as often as the mix takes it, each task's documents by the mix's shards and their places there.
 
     A document cut at the end of a quota comes along if at least half of it is taken.
     """
     aside = Aside(docs.columns)
     mixed = mixing.mix(docs.select(*aside.out(), *map(column, ("source", "text", "doc_id"))), carry=aside.inner)
-    return mixing.drawn(mixed, least_share=0.5).select(*aside.back())
+    return mixing.drawn(mixed, least_share=0.5, whole_shards=False).select(*aside.back())
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
