@@ -205,14 +205,15 @@ def mix(
     )
 
 
-def drawn(mixed: DataFrame, least_share: float = 0.0) -> DataFrame:
+def drawn(mixed: DataFrame, least_share: float = 0.0, whole_shards: bool = True) -> DataFrame:
     """One row for each time a document is taken: its shard, its place there and how many of its words are taken.
 
-    Draws that take less than `least_share` of a document are left out. Rows come out sorted by place inside each
-    shard, shards dealt over tasks by ranges, so that writing them keeps a shard's order.
+    Draws that take less than `least_share` of a document are left out. With `whole_shards` the rows are dealt over tasks
+    by ranges of shard and place, so that writing them keeps a shard together; without, nothing is moved, and each task's
+    rows come by shard and place.
     """
     aside = Aside(carried(mixed, *RESULTS, "shard", "place", "words"))
     enough = F.filter("draws", lambda d: d["words"] >= F.col("size") * least_share)
     rows = mixed.select(*aside.out(), F.explode(enough).alias("_draw")).select(*aside.inner, "_draw.shard", "_draw.place", "_draw.words")
-    ordered = rows.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place")
-    return ordered.select(*aside.back(), "shard", "place", "words")
+    dealt = rows.repartitionByRange("shard", "place") if whole_shards else rows
+    return dealt.sortWithinPartitions("shard", "place").select(*aside.back(), "shard", "place", "words")
