@@ -2,7 +2,7 @@
 
 n-grams of the items are the seeds: those that occur in at most `rare` items of the benchmark, and of each item its
 rarest ones up to a number of which `SEEDS` are left after the most words that may be replaced or left out at
-`least_score` (all its n-grams, if there are fewer). Documents are joined to items on seeds inside the scan; a place
+`least_score` (all its n-grams, if there are fewer). Documents are joined to items on seeds by a Spark join; a place
 where as many seeds of one item gather on one diagonal as such edits leave (`SEEDS` at most, one at least) is a
 candidate passage, and Smith-Waterman alignment of the passage's words with the item's words scores it. A passage
 counts from `least_score` of the score of an exact copy; so does a stretch of any part of an item that is worth
@@ -11,11 +11,17 @@ score. So that stretches have seeds too, the rarest n-grams of every run of `str
 edits of a stretch can take. Passages of one item do not overlap. A copy whose edits leave
 no two of its words side by side has no seed and is not found.
 
-Items go to the tasks in blocks of at most `block_words` words, one pass over the documents for each block, so what is
-sent is bounded whatever the benchmark's size. No document is shuffled. Words are compared without case (of all scripts)
+Seeds are a table (n-gram, item, place), chosen in tasks from counts over the whole benchmark. One pass over the
+documents lists the n-grams that a sketch of all seeds does not rule out; the sketch is a bit set of `SKETCH_BITS`
+bits whatever the benchmark's size, and what it lets through by chance meets no seed in the join. Hits are keyed by the
+text's hash (two of 64 bits), so copies of a text are one text from there on, and are grouped by text and item into
+candidate passages by windows. Of the documents only texts with a candidate are moved, one row of each, to be aligned
+with their items' words as those stream by. Tables that are small by their files' size are broadcast by the optimizer,
+beyond that they are shuffled. Words are compared without case (of all scripts)
 and punctuation. Items of fewer words than a seed, null and empty ones are not looked for; null and empty texts match
-nothing. Items with the same item_id are looked for one by one. Texts are processed whole. A column of the input that
-has the name of the result column is left out.
+nothing. Items with the same item_id are looked for one by one. Texts are processed whole. Matches are in
+the order of their first and last word and item_id. A column of the input that has the name of the result column is
+left out.
 """
 
 from __future__ import annotations
@@ -24,11 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import Aside, carried, column, extended, ints, stored
-from feedweave.llm.prefix import placed, totals
+from feedweave.llm.common import Aside, carried, column, ints, stored
+from feedweave.llm.prefix import placed
 from feedweave.llm.units import PUNCTUATION, U64, Words, mixed, pieces, signed, utf8
 
 SEED_WORDS = 2
@@ -39,10 +46,12 @@ STRETCH = 20
 EDIT = 8
 # Some words in a row of a stretch are copied without an edit, and on average there are more than EDIT / MATCH of them.
 VERBATIM = EDIT // 2 + 1
-BLOCK_WORDS = 2_000_000
+SKETCH_BITS = 25
 MATCH, MISMATCH, GAP = 2, -1, -1
 RESULTS = ("matches",)
 _TYPE = "array<struct<item_id: bigint, score: double, first_word: bigint, last_word: bigint>>"
+#: A text, whatever the rows that have it.
+_TEXT = ("_text_a", "_text_b")
 
 
 def _runs_of(codes: np.ndarray, size: int) -> np.ndarray:
@@ -107,70 +116,138 @@ def _rarest_of_runs(rank: np.ndarray, owner: np.ndarray, size: int, stretch: int
     return out
 
 
-class Items:
-    """A block of items: their words, their seeds in order of hash, and how many seeds a passage must have.
+def _grams_of_items(size: int):
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "words_of"):
+            words = Words(*utf8(batch.column("words_of")), breaks=PUNCTUATION)
+            start, hashed = _grams(words, size)
+            owner = np.searchsorted(words.offsets, start, side="right") - 1
+            columns = {
+                "no": batch.column("no").take(pa.array(owner)),
+                "length": pa.array(words.counts[owner].astype(np.int64)),
+                "place": pa.array(start - words.offsets[owner]),
+                "gram": pa.array(signed(hashed)),
+            }
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return listed
+
+
+def _chosen(size: int, rare: int, least: float, stretch: int):
+    """The seeds of items, from rows with an item's n-grams in order and in how many items each occurs."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("grams")
+            count = ints(pc.list_value_length(lists))
+            owner = np.repeat(np.arange(len(count)), count)
+            place, spread, gram = (ints(pc.struct_field(lists.flatten(), f)) for f in ("place", "spread", "gram"))
+            by_spread = np.lexsort([gram, spread, owner])
+            rank = np.empty(len(owner), dtype=np.int64)
+            rank[by_spread] = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+            lengths = ints(batch.column("length"))
+            lost = _lost(lengths, size, least)
+            use = (rank < lost[owner] + SEEDS) | (spread <= rare) | _rarest_of_runs(rank, owner, size, stretch)
+            # How many seeds a passage must have.
+            needed = np.clip(np.bincount(owner[use], minlength=len(count)) - lost, 1, SEEDS)
+            columns = {
+                "gram": pa.array(gram[use]),
+                "no": batch.column("no").take(pa.array(owner[use])),
+                "place": pa.array(place[use]),
+                "length": pa.array(lengths[owner[use]]),
+                "needed": pa.array(needed[owner[use]]),
+            }
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return choose
+
+
+def _sketch(seeds: DataFrame, bits: int) -> np.ndarray:
+    """Bit set of the seeds' hashes: at most 2 ** `bits` bits reach the driver, whatever the number of seeds."""
+    at = F.shiftrightunsigned("gram", 64 - bits)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(F.lit(63)).cast("int"))
+    found = seeds.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), dtype=U64)
+    out[ints(found.column("word"))] = ints(found.column("bits")).view(U64)
+    return out
+
+
+def _likely_seeds(sketch: np.ndarray, bits: int, size: int):
+    """The n-grams of documents that the sketch of all seeds does not rule out."""
 
-    `counted` are the n-grams of the block in order, and in how many items of the benchmark each occurs.
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "_text"):
+            words = Words(*utf8(batch.column("_text")), breaks=PUNCTUATION)
+            start, hashed = _grams(words, size)
+            at = hashed >> U64(64 - bits)
+            met = (sketch[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) > 0
+            start, hashed = start[met], hashed[met]
+            owner = np.searchsorted(words.offsets, start, side="right") - 1
+            columns = {k: batch.column(k).take(pa.array(owner)) for k in _TEXT}
+            columns |= {"at": pa.array(start - words.offsets[owner]), "gram": pa.array(signed(hashed))}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return listed
+
+
+def _passages(hits: DataFrame) -> DataFrame:
+    """Clusters of seeds of one item that lie near one diagonal of one text, with the words around that may belong.
+
+    Clusters that overlap are one passage.
     """
+    group = (*_TEXT, "no")
+    # Copies of a text count once; the same seed on two diagonals of a cluster, too.
+    distinct = hits.groupBy(*group, (F.col("at") - F.col("place")).alias("begin"), "place").agg(
+        F.first("length").alias("length"), F.first("needed").alias("needed")
+    )
+    along = Window.partitionBy(*group).orderBy("begin", "place")
+    apart = F.col("begin") - F.lag("begin").over(along) > F.shiftright("length", 2) + 1
+    clusters = (
+        distinct.withColumn("apart", apart.cast("int"))
+        .withColumn("cluster", F.sum(F.coalesce("apart", F.lit(0))).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy(*group, "cluster")
+        .agg(
+            F.size(F.collect_set("place")).alias("seeds"),
+            F.min("begin").alias("low"),
+            F.max("begin").alias("high"),
+            F.first("length").alias("length"),
+            F.first("needed").alias("needed"),
+        )
+        .where("seeds >= needed")
+    )
+    slack = F.shiftright("length", 1)
+    around = clusters.select(
+        *group,
+        F.greatest(F.col("low") - slack, F.lit(0)).alias("first"),
+        (F.col("high") + F.col("length") + slack).alias("last"),
+        "low",
+    )
+    along = Window.partitionBy(*group).orderBy("low")
+    free = (F.col("first") >= F.lag("last").over(along)).cast("int")
+    return (
+        around.withColumn("free", free)
+        .withColumn("passage", F.sum(F.coalesce("free", F.lit(0))).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy(*group, "passage")
+        .agg(F.min("first").alias("first"), F.max("last").alias("last"))
+        .drop("passage")
+    )
 
-    def __init__(
-        self,
-        ids: list[int | None],
-        texts: pa.Array,
-        size: int,
-        rare: int,
-        least: float,
-        stretch: int,
-        counted: tuple[np.ndarray, np.ndarray],
-    ):
-        words = Words(*utf8(texts), breaks=PUNCTUATION)
-        self.ids, self.size = ids, size
-        self.lengths = words.counts
-        self.codes, self.offsets = words.codes, words.offsets
-        start, hashed = _grams(words, size)
-        owner = np.searchsorted(words.offsets, start, side="right") - 1
-        grams, items = counted
-        spread = items[np.searchsorted(grams, hashed)] if len(hashed) else hashed
-        by_spread = np.lexsort([hashed, spread, owner])
-        count = np.bincount(owner, minlength=len(ids))
-        rank = np.empty(len(owner), dtype=np.int64)
-        rank[by_spread] = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-        lost = _lost(self.lengths, size, least)
-        use = (rank < lost[owner] + SEEDS) | (spread <= rare) | _rarest_of_runs(rank, owner, size, stretch)
-        self.needed = np.clip(np.bincount(owner[use], minlength=len(ids)) - lost, 1, SEEDS)
-        order = np.argsort(hashed[use], kind="stable")
-        self.seeds, self.owner = hashed[use][order], owner[use][order]
-        self.place = (start - words.offsets[owner])[use][order]
-
-    def hits(self, start: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word in the text, item, word in the item) of every seed met."""
-        low = np.searchsorted(self.seeds, hashed, side="left")
-        count = np.searchsorted(self.seeds, hashed, side="right") - low
-        row = np.repeat(np.arange(len(start)), count)
-        seed = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + low[row]
-        return start[row], self.owner[seed], self.place[seed]
-
-    def of(self, item: int) -> np.ndarray:
-        return self.codes[self.offsets[item] : self.offsets[item + 1]]
-
-
-def _common(items: Items, item: np.ndarray, words: Words, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+
+def _common(codes: np.ndarray, offsets: np.ndarray, item: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """How many words of its item each passage (`first` to `last`) has anywhere: no alignment matches more."""
-    order = np.argsort(words.codes, kind="stable")
-    codes = words.codes[order]
+    order = np.argsort(codes, kind="stable")
+    ordered = codes[order]
     out = np.zeros(len(item), dtype=np.int64)
-    lengths = items.lengths[item]
+    lengths = offsets[item + 1] - offsets[item]
     part = np.cumsum(lengths) >> 20
     for rows in np.split(np.arange(len(item)), np.flatnonzero(np.diff(part)) + 1):
         count = lengths[rows]
         owner = np.repeat(rows, count)
-        at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + items.offsets[item[owner]]
-        low = np.searchsorted(codes, items.codes[at], side="left")
-        high = np.searchsorted(codes, items.codes[at], side="right")
-        known = np.flatnonzero(high > low)
+        at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + offsets[item[owner]]
+        low = np.searchsorted(ordered, codes[at], side="left")
+        end = np.searchsorted(ordered, codes[at], side="right")
+        high = end.copy()
         # The first place of the word from `first` on, by halving inside the word's places.
-        low, high, owner = low[known], high[known], owner[known]
-        end = high.copy()
         while (open_ := low < high).any():
             middle = (low + high) // 2
             before = open_ & (order[np.minimum(middle, len(order) - 1)] < first[owner])
@@ -211,78 +288,40 @@ def _copies(
             todo += [(first + b + 1, last, whole), (first, first + a, whole)]
 
 
-def _matches(items: Items, words: Words, least: float, stretch: int) -> Iterator[tuple[int, dict]]:
-    """(text, match) for every cluster of seeds of one item that lie near one diagonal of one text."""
-    at, item, place = items.hits(*_grams(words, items.size))
-    text = np.searchsorted(words.offsets, at, side="right") - 1
-    begin = at - place
-    order = np.lexsort([begin, item, text])
-    text, item, place, begin = text[order], item[order], place[order], begin[order]
-    lengths = items.lengths[item]
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > lengths[1:] // 4 + 1)
-    cluster = np.cumsum(new) - 1
-    starts = np.flatnonzero(new)
-    stops = np.append(starts[1:], len(order))
-    # The same seed on two diagonals of a cluster counts once.
-    span = int(place.max(initial=0)) + 1
-    distinct = np.unique(cluster * span + place) // span
-    enough = np.flatnonzero(np.bincount(distinct, minlength=len(starts)) >= items.needed[item[starts]])
-    starts, stops = starts[enough], stops[enough]
-    text, item, low, high = text[starts], item[starts], begin[starts], begin[stops - 1]
-    lengths = items.lengths[item]
-    slack = lengths // 2
-    first = np.maximum(low - slack, words.offsets[text])
-    last = np.minimum(high + lengths + slack, words.offsets[text + 1])
-    # Candidates of one item that overlap are one passage.
-    new = np.ones(len(text), dtype=bool)
-    new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (first[1:] >= last[:-1])
-    starts = np.flatnonzero(new)
-    text, item, first = text[starts], item[starts], first[starts]
-    last = last[np.append(starts[1:], len(new)) - 1] if len(starts) else last
-    common, fewest = _common(items, item, words, first, last), least * items.lengths[item]
-    whole = common >= fewest
-    for c in np.flatnonzero(whole | ((common >= stretch) & (stretch < fewest))):
-        begin = int(words.offsets[text[c]])
-        within = int(first[c]), int(last[c])
-        for score, a, b in _copies(items.of(item[c]), words.codes, *within, least, stretch, bool(whole[c])):
-            yield (
-                int(text[c]),
-                {"item_id": items.ids[item[c]], "score": score, "first_word": a - begin, "last_word": b - begin},
-            )
-
-
-def _grams_of_items(size: int):
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "words_of"):
-            words = Words(*utf8(batch.column("words_of")), breaks=PUNCTUATION)
-            start, hashed = _grams(words, size)
-            owner = np.searchsorted(words.offsets, start, side="right") - 1
-            order = np.lexsort([hashed, owner])
-            hashed, owner = hashed[order], owner[order]
-            new = np.ones(len(order), dtype=bool)
-            new[1:] = (hashed[1:] != hashed[:-1]) | (owner[1:] != owner[:-1])
-            block = batch.column("block").take(pa.array(owner[new]))
-            yield pa.RecordBatch.from_arrays([block, pa.array(signed(hashed[new]))], names=["block", "gram"])
-
-    return listed
-
+def _aligned(least: float, stretch: int):
+    """Matches, from rows in which each text (`first` is null) comes before its passages, which bring their item's text.
 
-def _marker(items: Items, least: float, stretch: int):
-    kind = pa.list_(
-        pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
-    )
+    Only the text of the passages at hand is held.
+    """
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def align_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty(0, dtype=U64)
         for batch in pieces(batches, "_text"):
             words = Words(*utf8(batch.column("_text")), breaks=PUNCTUATION)
-            known = batch.column("matches").to_pylist()
-            for i, match in _matches(items, words, least, stretch):
-                known[i] = [*known[i], match]
-            where = batch.schema.get_field_index("matches")
-            yield batch.set_column(where, "matches", pa.array(known, kind))
-
-    return mark
+            codes, offsets = np.concatenate([held, words.codes]), words.offsets + len(held)
+            passage = pc.is_valid(batch.column("first")).to_numpy(zero_copy_only=False)
+            text = np.maximum.accumulate(np.where(passage, -1, np.arange(len(passage))))
+            row = np.flatnonzero(passage)
+            begin = np.where(text[row] >= 0, offsets[text[row]], 0)
+            end = np.where(text[row] >= 0, offsets[text[row] + 1], len(held))
+            first, last = (ints(batch.column(c).take(pa.array(row))).astype(np.int64) for c in ("first", "last"))
+            first, last = begin + first, np.minimum(begin + last, end)
+            common, fewest = _common(codes, offsets, row, first, last), least * (offsets[row + 1] - offsets[row])
+            whole = common >= fewest
+            found = []
+            for c in np.flatnonzero(whole | ((common >= stretch) & (stretch < fewest))):
+                own = codes[offsets[row[c]] : offsets[row[c] + 1]]
+                for score, a, b in _copies(own, codes, int(first[c]), int(last[c]), least, stretch, bool(whole[c])):
+                    found.append((row[c], score, a - begin[c], b - begin[c]))
+            of, score, a, b = zip(*found, strict=True) if found else ((),) * 4
+            columns = {k: batch.column(k).take(pa.array(of, pa.int64())) for k in (*_TEXT, "item_id")}
+            columns |= {"score": pa.array(score, pa.float64())}
+            columns |= {"first_word": pa.array(a, pa.int64()), "last_word": pa.array(b, pa.int64())}
+            yield pa.RecordBatch.from_pydict(columns)
+            if text[-1] >= 0:
+                held = codes[offsets[text[-1]] : offsets[text[-1] + 1]].copy()
+
+    return align_rows
 
 
 def folded(text: Column) -> Column:
@@ -290,6 +329,16 @@ def folded(text: Column) -> Column:
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
+def _seeds(items: DataFrame, size: int, rare: int, least: float, stretch: int) -> DataFrame:
+    """(gram, item's number, place, words of the item, seeds a passage of it must have)."""
+    grams = items.mapInArrow(_grams_of_items(size), "no bigint, length bigint, place bigint, gram bigint")
+    spread = grams.select("gram", "no").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("spread"))
+    whole = grams.join(spread, "gram").groupBy("no", "length")
+    return whole.agg(F.sort_array(F.collect_list(F.struct("place", "spread", "gram"))).alias("grams")).mapInArrow(
+        _chosen(size, rare, least, stretch), "gram bigint, no bigint, place bigint, length bigint, needed bigint"
+    )
+
+
 def mark_contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -299,46 +348,43 @@ def mark_contaminated(
     size: int = SEED_WORDS,
     rare: int = RARE_ITEMS,
     least_score: float = LEAST_SCORE,
-    block_words: int = BLOCK_WORDS,
     stretch: int = STRETCH,
+    sketch_bits: int = SKETCH_BITS,
 ) -> DataFrame:
     """The documents with `matches`: item_id, score, first_word and last_word of each passage that copies an item."""
-    items = benchmark.select(
-        column(item_id).cast("bigint").alias("item"),
-        folded(column(item_text)).alias("words_of"),
-        F.coalesce(F.octet_length(folded(column(item_text))), F.lit(0)).alias("size"),
-    ).where("size > 0")
-    rows = placed(items, "item", "words_of")
-    # A block of so many bytes has fewer words.
-    blocked = stored(
-        totals(rows, [], start=F.col("size")).select("item", "words_of", F.floor(F.col("start") / block_words).alias("block")),
-        "items",
+    listed = benchmark.select(
+        column(item_id).cast("bigint").alias("item_id"), folded(column(item_text)).alias("words_of")
+    ).where(F.length("words_of") > 0)
+    items = placed(listed, "item_id", "words_of").select(
+        (F.shiftleft(F.col("_part").cast("bigint"), 33) + F.col("_slot")).alias("no"), "item_id", "words_of"
     )
-    # In how many items of the whole benchmark each n-gram of a block occurs.
-    spread = stored(
-        blocked.mapInArrow(_grams_of_items(size), "block bigint, gram bigint")
-        .groupBy("block", "gram")
-        .agg(F.count(F.lit(1)).alias("items"))
-        .withColumn("items", F.sum("items").over(Window.partitionBy("gram"))),
-        "grams",
-    )
-    blocks = [r["block"] for r in blocked.select("block").distinct().orderBy("block").collect()]
+    seeds = stored(_seeds(items, size, rare, least_score, stretch), "seeds")
+
     aside = Aside(carried(docs, *RESULTS))
-    marked = docs.select(*aside.out(), folded(column(text)).alias("_text"), F.array().cast(_TYPE).alias("matches"))
-    schema = extended(marked, aside.inner, f"_text string, matches {_TYPE}")
-    for block in blocks:
-        part = blocked.where(F.col("block") == block).select("item", "words_of").toArrow()
-        counts = spread.where(F.col("block") == block).select("gram", "items").toArrow()
-        grams, in_items = ints(counts.column("gram")).view(U64), ints(counts.column("items"))
-        by_gram = np.argsort(grams)
-        held = Items(
-            part.column("item").to_pylist(),
-            part.column("words_of").combine_chunks(),
-            size,
-            rare,
-            least_score,
-            stretch,
-            (grams[by_gram], in_items[by_gram]),
-        )
-        marked = marked.mapInArrow(_marker(held, least_score, stretch), schema)
-    return marked.select(*aside.back(), "matches")
+    plain = folded(column(text))
+    hashes = [F.xxhash64(plain).alias(_TEXT[0]), F.xxhash64(F.lit(1), plain).alias(_TEXT[1])]
+    texts = docs.select(*hashes, plain.alias("_text"))
+    key = ", ".join(f"{k} bigint" for k in _TEXT)
+    likely = texts.mapInArrow(
+        _likely_seeds(_sketch(seeds, sketch_bits), sketch_bits, size), f"{key}, at bigint, gram bigint"
+    )
+    passages = stored(_passages(likely.join(seeds, "gram")), "passages")
+
+    # One row of each text before it moves, and then its passages.
+    wanted = texts.join(passages.select(*_TEXT).distinct(), [*_TEXT], "left_semi")
+    once = wanted.groupBy(*_TEXT).agg(F.first("_text").alias("_text"))
+    rows = once.select(
+        *_TEXT, *[F.lit(None).cast("bigint").alias(c) for c in ("first", "last", "item_id")], "_text"
+    ).unionByName(passages.join(items.withColumnRenamed("words_of", "_text"), "no").drop("no"))
+    in_order = rows.repartition(*_TEXT).sortWithinPartitions(*_TEXT, F.col("first").asc_nulls_first())
+    found = in_order.mapInArrow(
+        _aligned(least_score, stretch), f"{key}, item_id bigint, score double, first_word bigint, last_word bigint"
+    )
+    ordered = F.sort_array(F.collect_list(F.struct("first_word", "last_word", "item_id", "score")))
+    fields = ("item_id", "score", "first_word", "last_word")
+    matches = stored(
+        found.groupBy(*_TEXT).agg(F.transform(ordered, lambda m: F.struct(*[m[f].alias(f) for f in fields])).alias("matches")),
+        "matches",
+    )
+    marked = docs.select(*aside.out(), *hashes).join(matches, [*_TEXT], "left")
+    return marked.select(*aside.back(), F.coalesce("matches", F.array().cast(_TYPE)).cast(_TYPE).alias("matches"))

@@ -203,9 +203,9 @@ def test_copies_are_found_and_clean_documents_are_not(spark):
         rows.append((i, text(rng.randint(0, 80)) + " " + middle + " " + text(rng.randint(0, 80)), "s", "m"))
     rows += [(500, None, "s", "m"), (501, "", "s", "m"), (None, items[4][1], "s", "m")]
     items += [(900, None), (901, ""), (902, "too short"), (None, text(20))]
-    for block_words in (2_000_000, 200):
+    for sketch_bits in (25, 6):  # six bits rule nothing out
         got = decontamination.mark_contaminated(
-            spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, ITEMS), block_words=block_words
+            spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, ITEMS), sketch_bits=sketch_bits
         ).collect()
         assert len(got) == len(rows)
         found = {r.doc_id: [m["item_id"] for m in r.matches] for r in got}
@@ -242,7 +242,39 @@ def test_items_that_share_their_words_and_items_of_two_words_are_found(spark):
     family = {i: list(range(5)) for i in range(5)} | {i: list(range(10, 15)) for i in range(10, 15)}
     expected = family | {20: [20], 21: [21], 22: [], 30: sorted([*range(5), *range(5)]), 31: []}
     assert found_items(spark, docs, items) == expected
-    assert found_items(spark, docs, items, block_words=100) == expected
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large to broadcast
+        assert found_items(spark, docs, items) == expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_matches_equal_the_alignment_of_every_item_with_every_text(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    items = [(i, [word() for _ in range(rng.randint(6, 25))]) for i in range(12)]
+    docs = []
+    for i in range(50):
+        _, copied = rng.choice(items)
+        keep = rng.choice([1.0, 0.9, 0.8, 0.6, 0.0])
+        copied = [w if rng.random() < keep else word() for w in copied]
+        docs.append((i, [*(word() for _ in range(rng.randint(0, 40))), *copied, *(word() for _ in range(rng.randint(0, 40)))]))
+    docs += [(100 + i, docs[i][1]) for i in range(0, 50, 7)]  # repeated rows
+    rows = [(i, " ".join(w), "s", "m") for i, w in docs]
+    tests = [(i, " ".join(w)) for i, w in items]
+    marked = decontamination.mark_contaminated(spark.createDataFrame(rows, DOCS), spark.createDataFrame(tests, ITEMS)).collect()
+    pairs = {(r.doc_id, m["item_id"]): m["score"] for r in marked for m in r.matches}
+    expected = {}
+    for doc_id, text in docs:
+        for item_id, own in items:
+            # Two words of the item side by side are the least there must be for a seed.
+            seeded = {*zip(own, own[1:])} & {*zip(text, text[1:])}
+            score = plain_alignment(own, text) / (2 * len(own))
+            if score >= decontamination.LEAST_SCORE and seeded:
+                expected[doc_id, item_id] = score
+    assert len(marked) == len(docs) and len(expected) > 30
+    assert pairs == pytest.approx(expected)
 
 
 def test_every_copy_with_as_many_words_replaced_as_the_least_score_allows_is_found(spark):
