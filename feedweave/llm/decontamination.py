@@ -13,11 +13,12 @@ no two of its words side by side has no seed and is not found.
 
 Seeds are a table (n-gram, item, place), chosen in tasks from counts over the whole benchmark. One pass over the
 documents lists the n-grams that a sketch of all seeds does not rule out; the sketch is a bit set of `SKETCH_BITS`
-bits whatever the benchmark's size, and what it lets through by chance meets no seed in the join. Hits are keyed by the
-text's hash (two of 64 bits), so copies of a text are one text from there on, and are grouped by text and item into
-candidate passages by windows. Of the documents only texts with a candidate are moved, one row of each, to be aligned
-with their items' words as those stream by. Tables that are small by their files' size are broadcast by the optimizer,
-beyond that they are shuffled. Words are compared without case (of all scripts)
+bits whatever the benchmark's size, and what it lets through by chance meets no seed in the join. Hits of one text and
+item are clustered into candidate passages: where the documents lie if the seeds are few enough to be broadcast, else
+after a shuffle by text. Texts go by their hash (two of 64 bits), so copies of a text are one text from there on. Of the
+documents only texts with a candidate are moved, one row of each, to be aligned with their items' words as those stream
+by. Seeds, texts with candidates and matches are broadcast up to `broadcast_rows` rows, counted; beyond that they are
+joined without. Words are compared without case (of all scripts)
 and punctuation. Items of fewer words than a seed, null and empty ones are not looked for; null and empty texts match
 nothing. Items with the same item_id are looked for one by one. Texts are processed whole. Matches are in
 the order of their first and last word and item_id. A column of the input that has the name of the result column is
@@ -47,6 +48,7 @@ EDIT = 8
 # Some words in a row of a stretch are copied without an edit, and on average there are more than EDIT / MATCH of them.
 VERBATIM = EDIT // 2 + 1
 SKETCH_BITS = 25
+BROADCAST_ROWS = 200_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 RESULTS = ("matches",)
 _TYPE = "array<struct<item_id: bigint, score: double, first_word: bigint, last_word: bigint>>"
@@ -173,9 +175,10 @@ def _sketch(seeds: DataFrame, bits: int) -> np.ndarray:
 
 
 def _likely_seeds(sketch: np.ndarray, bits: int, size: int):
-    """The n-grams of documents that the sketch of all seeds does not rule out."""
+    """The n-grams of documents that the sketch of all seeds does not rule out; `row` tells a task's documents apart."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = 0
         for batch in pieces(batches, "_text"):
             words = Words(*utf8(batch.column("_text")), breaks=PUNCTUATION)
             start, hashed = _grams(words, size)
@@ -184,53 +187,58 @@ def _likely_seeds(sketch: np.ndarray, bits: int, size: int):
             start, hashed = start[met], hashed[met]
             owner = np.searchsorted(words.offsets, start, side="right") - 1
             columns = {k: batch.column(k).take(pa.array(owner)) for k in _TEXT}
-            columns |= {"at": pa.array(start - words.offsets[owner]), "gram": pa.array(signed(hashed))}
+            columns |= {"row": pa.array(owner + rows), "at": pa.array(start - words.offsets[owner])}
+            columns |= {"gram": pa.array(signed(hashed))}
+            rows += batch.num_rows
             yield pa.RecordBatch.from_pydict(columns)
 
     return listed
 
 
-def _passages(hits: DataFrame) -> DataFrame:
+def _clusters(rows: pa.Table) -> pa.Table:
     """Clusters of seeds of one item that lie near one diagonal of one text, with the words around that may belong.
 
     Clusters that overlap are one passage.
     """
-    group = (*_TEXT, "no")
-    # Copies of a text count once; the same seed on two diagonals of a cluster, too.
-    distinct = hits.groupBy(*group, (F.col("at") - F.col("place")).alias("begin"), "place").agg(
-        F.first("length").alias("length"), F.first("needed").alias("needed")
-    )
-    along = Window.partitionBy(*group).orderBy("begin", "place")
-    apart = F.col("begin") - F.lag("begin").over(along) > F.shiftright("length", 2) + 1
-    clusters = (
-        distinct.withColumn("apart", apart.cast("int"))
-        .withColumn("cluster", F.sum(F.coalesce("apart", F.lit(0))).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*group, "cluster")
-        .agg(
-            F.size(F.collect_set("place")).alias("seeds"),
-            F.min("begin").alias("low"),
-            F.max("begin").alias("high"),
-            F.first("length").alias("length"),
-            F.first("needed").alias("needed"),
-        )
-        .where("seeds >= needed")
-    )
-    slack = F.shiftright("length", 1)
-    around = clusters.select(
-        *group,
-        F.greatest(F.col("low") - slack, F.lit(0)).alias("first"),
-        (F.col("high") + F.col("length") + slack).alias("last"),
-        "low",
-    )
-    along = Window.partitionBy(*group).orderBy("low")
-    free = (F.col("first") >= F.lag("last").over(along)).cast("int")
-    return (
-        around.withColumn("free", free)
-        .withColumn("passage", F.sum(F.coalesce("free", F.lit(0))).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*group, "passage")
-        .agg(F.min("first").alias("first"), F.max("last").alias("last"))
-        .drop("passage")
-    )
+    row, no, place, at, length, needed = (ints(rows.column(c)) for c in ("row", "no", "place", "at", "length", "needed"))
+    begin = at - place
+    order = np.lexsort([begin, no, row])
+    row, no, place, begin, length, needed = (x[order] for x in (row, no, place, begin, length, needed))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (no[1:] != no[:-1]) | (begin[1:] - begin[:-1] > length[1:] // 4 + 1)
+    cluster = np.cumsum(new) - 1
+    starts = np.flatnonzero(new)
+    stops = np.append(starts[1:], len(order))
+    # The same seed on two diagonals of a cluster counts once.
+    span = int(place.max(initial=0)) + 1
+    distinct = np.unique(cluster * span + place) // span
+    enough = np.flatnonzero(np.bincount(distinct, minlength=len(starts)) >= needed[starts])
+    starts, stops = starts[enough], stops[enough]
+    slack = length[starts] // 2
+    first = np.maximum(begin[starts] - slack, 0)
+    last = begin[stops - 1] + length[starts] + slack
+    new = np.ones(len(starts), dtype=bool)
+    new[1:] = (row[starts[1:]] != row[starts[:-1]]) | (no[starts[1:]] != no[starts[:-1]]) | (first[1:] >= last[:-1])
+    heads = np.flatnonzero(new)
+    ends = np.append(heads[1:], len(new))[: len(heads)] - 1
+    found = rows.select([*_TEXT, "no"]).take(pa.array(order[starts[heads]]))
+    return found.append_column("first", pa.array(first[heads])).append_column("last", pa.array(last[ends]))
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate passages, from hits in which those of one text follow each other; one text's hits are held at most."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([held, rows]).combine_chunks() if held is not None else rows
+        if not rows.num_rows:
+            continue
+        row = ints(rows.column("row"))
+        cut = int(np.flatnonzero(row != row[-1])[-1]) + 1 if row[0] != row[-1] else 0
+        yield from _clusters(rows.slice(0, cut)).to_batches()
+        held = rows.slice(cut)
+    if held is not None:
+        yield from _clusters(held.combine_chunks()).to_batches()
 
 
 def _common(codes: np.ndarray, offsets: np.ndarray, item: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -339,6 +347,11 @@ def _seeds(items: DataFrame, size: int, rare: int, least: float, stretch: int) -
     )
 
 
+def _few(rows: DataFrame, most: int) -> bool:
+    """Whether a table is small enough to broadcast, by counting no further than that."""
+    return rows.limit(most + 1).count() <= most
+
+
 def mark_contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -350,6 +363,7 @@ def mark_contaminated(
     least_score: float = LEAST_SCORE,
     stretch: int = STRETCH,
     sketch_bits: int = SKETCH_BITS,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """The documents with `matches`: item_id, score, first_word and last_word of each passage that copies an item."""
     listed = benchmark.select(
@@ -366,12 +380,22 @@ def mark_contaminated(
     texts = docs.select(*hashes, plain.alias("_text"))
     key = ", ".join(f"{k} bigint" for k in _TEXT)
     likely = texts.mapInArrow(
-        _likely_seeds(_sketch(seeds, sketch_bits), sketch_bits, size), f"{key}, at bigint, gram bigint"
+        _likely_seeds(_sketch(seeds, sketch_bits), sketch_bits, size), f"{key}, row bigint, at bigint, gram bigint"
+    )
+    if _few(seeds, broadcast_rows):
+        # A text's hits stay together where its row is.
+        hits = likely.join(F.broadcast(seeds), "gram").drop("gram")
+    else:
+        # Copies of a text are one text before its hits meet in a task.
+        distinct = likely.drop("row").join(seeds, "gram").drop("gram").distinct()
+        hits = distinct.repartition(*_TEXT).sortWithinPartitions(*_TEXT).withColumn("row", F.xxhash64(*_TEXT))
+    passages = stored(
+        hits.mapInArrow(_passages, f"{key}, no bigint, first bigint, last bigint").distinct(), "passages"
     )
-    passages = stored(_passages(likely.join(seeds, "gram")), "passages")
 
     # One row of each text before it moves, and then its passages.
-    wanted = texts.join(passages.select(*_TEXT).distinct(), [*_TEXT], "left_semi")
+    ids = passages.select(*_TEXT).distinct()
+    wanted = texts.join(F.broadcast(ids) if _few(ids, broadcast_rows) else ids, [*_TEXT], "left_semi")
     once = wanted.groupBy(*_TEXT).agg(F.first("_text").alias("_text"))
     rows = once.select(
         *_TEXT, *[F.lit(None).cast("bigint").alias(c) for c in ("first", "last", "item_id")], "_text"
@@ -386,5 +410,6 @@ def mark_contaminated(
         found.groupBy(*_TEXT).agg(F.transform(ordered, lambda m: F.struct(*[m[f].alias(f) for f in fields])).alias("matches")),
         "matches",
     )
-    marked = docs.select(*aside.out(), *hashes).join(matches, [*_TEXT], "left")
+    known = F.broadcast(matches) if _few(matches, broadcast_rows) else matches
+    marked = docs.select(*aside.out(), *hashes).join(known, [*_TEXT], "left")
     return marked.select(*aside.back(), F.coalesce("matches", F.array().cast(_TYPE)).cast(_TYPE).alias("matches"))

@@ -245,7 +245,7 @@ def test_items_that_share_their_words_and_items_of_two_words_are_found(spark):
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     try:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large to broadcast
-        assert found_items(spark, docs, items) == expected
+        assert found_items(spark, docs + docs, items, broadcast_rows=0) == expected
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
