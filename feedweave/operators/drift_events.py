@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from datetime import datetime
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedweave.functions.ids import stable_id
 from feedweave.operators.drift import ADDED, BLOCKING, FINGERPRINT_WIDTH, WARNING, severity
+from feedweave.session import materialize
 
 # States and column widths.
 OPEN, RESOLVED = "OPEN", "RESOLVED"
@@ -20,6 +22,10 @@ SCHEMA = (
     "detected_at timestamp, last_seen_at timestamp, status string, resolved_at timestamp, resolution_note string"
 )
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
+#: Rows with texts that a task sorts at most. Texts have fixed widths, so this bounds its memory.
+ROWS_PER_TASK = 200_000
+#: Up to so many distinct findings are broadcast without their texts; more are joined by a shuffle.
+MOST_BROADCAST = 200_000
 
 __all__ = ["OPEN", "RESOLVED", "BLOCKING", "WARNING", "severity", "ADDED"]
 
@@ -28,25 +34,52 @@ def _moment(at: datetime | Column) -> Column:
     return at if isinstance(at, Column) else F.lit(at).cast("timestamp")
 
 
-def findings_by_fingerprint(findings: DataFrame) -> DataFrame:
-    """Findings of a batch folded per (feed, fingerprint): count, earliest source change, first finding's texts.
+def _dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Rows dealt over tasks by key, as many tasks as their number asks for.
+
+    Tasks cut by size hold too much of texts that shrink well: what counts there is the compressed size.
+    """
+    return df if rows <= ROWS_PER_TASK else df.repartition(ceil(rows / ROWS_PER_TASK), *keys)
+
+
+def findings_by_fingerprint(findings: DataFrame) -> tuple[DataFrame, int]:
+    """Findings of a batch folded per (feed, fingerprint): count, earliest source change, first finding's texts; and
+    how many there are.
 
     Everything is a mergeable aggregate, so a fingerprint that a third of the records carry is folded before the
-    shuffle.
+    shuffle. It is folded without its texts, which would all be sorted for it; those of the first finding are fetched
+    by its place.
     """
-    first = F.min_by(
+    place = ["feed", "fingerprint", "arrival_seq", "finding_no"]
+    folded = materialize(
+        findings.groupBy("feed", "fingerprint")
+        .agg(
+            F.count(F.lit(1)).alias("_records"),
+            F.min("source_updated_at").alias("_changed"),
+            F.min(F.struct("arrival_seq", "finding_no")).alias("_at"),
+        )
+        # A struct equals another with nulls at the same fields, as a group does.
+        .select(F.struct("feed", "fingerprint", "_at.*").alias("_place"), "_records", "_changed")
+    )
+    distinct, rows = folded.agg(F.count(F.lit(1)), F.coalesce(F.sum("_records"), F.lit(0))).first()
+    texts = findings.select(
+        # The very type of the other side: a key that is cast for the join would be shuffled once more.
+        F.struct(*place).cast(folded.schema["_place"].dataType).alias("_place"),
         F.struct(
             "kind",
             F.left("field", F.lit(FIELD_WIDTH)).alias("field"),
             F.left("expected", F.lit(VALUE_WIDTH)).alias("expected"),
             F.left("actual", F.lit(VALUE_WIDTH)).alias("actual"),
             F.left("details", F.lit(DETAILS_WIDTH)).alias("details"),
-        ),
-        F.struct("arrival_seq", "finding_no"),
-    )
-    return findings.groupBy("feed", "fingerprint").agg(
-        F.count(F.lit(1)).alias("_records"), F.min("source_updated_at").alias("_changed"), first.alias("_first")
+        ).alias("_first"),
     )
+    if distinct <= MOST_BROADCAST:
+        found = texts.join(F.broadcast(folded), "_place")
+    else:
+        found = _dealt(texts, rows, "_place").join(_dealt(folded, rows, "_place"), "_place")
+    # A place is one row, unless a batch brings the same finding twice.
+    firsts = found.groupBy("_place").agg(*[F.first(c).alias(c) for c in ("_records", "_changed", "_first")])
+    return firsts.select("_place.feed", "_place.fingerprint", "_records", "_changed", "_first"), distinct
 
 
 def drift_event_upsert(
@@ -58,10 +91,12 @@ def drift_event_upsert(
     Resolved events are never reopened: they stay as they are beside the new one.
     """
     run = run_id if isinstance(run_id, Column) else F.lit(run_id)
-    seen = findings_by_fingerprint(findings)
+    seen, distinct = findings_by_fingerprint(findings)
     is_open = events.where(F.col("status") == OPEN)
     closed = events.where(F.col("status") != OPEN)
-    merged = is_open.join(seen, ["feed", "fingerprint"], "full_outer")
+    keys = ["feed", "fingerprint"]
+    rows = max(is_open.count(), distinct)
+    merged = _dealt(is_open, rows, *keys).join(_dealt(seen, rows, *keys), keys, "full_outer")
     fresh = F.col("event_id").isNull()
     hit = F.col("_records").isNotNull()
 
@@ -102,7 +137,8 @@ def _resolving(events: DataFrame, hits: Column, note: Column, now: datetime | Co
 def drift_event_resolve(events: DataFrame, decisions: DataFrame, now: datetime | Column) -> DataFrame:
     """Apply operator decisions (event_id, note) to open events."""
     asked = decisions.select("event_id", F.col("note").alias("_note"), F.lit(True).alias("_asked"))
-    joined = events.join(asked, "event_id", "left")
+    rows = events.count()
+    joined = _dealt(events, rows, "event_id").join(_dealt(asked, rows, "event_id"), "event_id", "left")
     return _resolving(joined, F.col("_asked"), F.col("_note"), now).select(*events.columns)
 
 
