@@ -22,6 +22,24 @@ from feedweave.operators.merge import annotate, before_after_of, state_of
 from feedweave.operators.outbox import change_events
 from feedweave.operators.quarantine import quarantine_episodes
 from feedweave.operators.runs import LOADED, QUARANTINED, REPEATED, SKIPPED, run_counters
+from feedweave.session import stored
+
+#: What later steps read of a checked record.
+CHECKED = [
+    "feed",
+    "business_key",
+    "source_updated_at",
+    "deleted",
+    "arrival_seq",
+    "payload",
+    "is_repeat",
+    "findings",
+    "drift_detected",
+    "reject_reason",
+    "reject_details",
+    "content",
+    "content_fingerprint",
+]
 
 
 def check_records(records: DataFrame, spec: FeedSpec, repeats: bool = True, limit: int | None = None) -> DataFrame:
@@ -57,6 +75,12 @@ def check_records(records: DataFrame, spec: FeedSpec, repeats: bool = True, limi
     )
 
 
+def keep_checked(checked: DataFrame, folder: str | None = None) -> DataFrame:
+    """Store checked records for the steps that follow. Of their payloads those rejected are needed, for quarantine."""
+    payload = F.when(F.col("reject_reason").isNotNull(), F.col("payload"))
+    return stored(checked.withColumn("payload", payload).select(*CHECKED), folder)
+
+
 def changes_of(checked: DataFrame) -> DataFrame:
     """The canonical changes a checked batch brings: an upsert with content or a delete without."""
     return checked.where(~F.col("is_repeat") & F.col("reject_reason").isNull()).select(

@@ -16,8 +16,8 @@ from feedweave.operators import outbox as O
 from feedweave.operators import quarantine as Q
 from feedweave.operators import runs as R
 from feedweave.operators import watermarks as W
-from feedweave.plans.process import changes_of, check_records, process_batch
-from feedweave.session import materialize, shared_folder
+from feedweave.plans.process import changes_of, check_records, keep_checked, process_batch
+from feedweave.session import materialize, shared_folder, stored
 from feedweave.sinks.store import LOGS, OPEN_QUARANTINE, FeedStore, merge_sink
 from feedweave.sources.change_feed import DEFAULT_OVERLAP, in_window, incremental_window, read_watermark
 from feedweave.sources.pages import bounded_pages, page_records, require_trackable
@@ -132,7 +132,7 @@ class FeedRunner:
         run_no = last["run_no"] + 1
         sets, tables = {}, {}
         try:
-            checked = materialize(check_records(read(), self.spec, repeats=replayed is None))
+            checked = keep_checked(check_records(read(), self.spec, repeats=replayed is None), self.store.work("checked"))
             outcome = self._process(run, checked, last)
             counters = outcome.counters.drop("run_id", "feed").first()
             if counters is not None:
@@ -169,13 +169,13 @@ class FeedRunner:
             self.store.read_set("drift_open", last),
             run["run_id"],
             run["started_at"],
-            keep=lambda df, name: materialize(df),
+            keep=lambda df, name: stored(df, self.store.work(name)),
         )
 
     def _write_lifecycle(self, run: dict, outcome, last: dict, run_no: int, replayed: DataFrame | None) -> dict:
         """Write what the run did to quarantine, drift events and outbox; returns the layout of open quarantine."""
         now = run["started_at"]
-        episodes = materialize(outcome.quarantine)
+        episodes = stored(outcome.quarantine, self.store.work("quarantine"))
         if replayed is not None:
             passed = outcome.results.select("business_key").distinct()
             done = episodes.join(replayed.select("quarantine_id"), "quarantine_id", "left_semi").join(

@@ -73,6 +73,10 @@ class FeedStore:
             for name, (schema, keys, gone) in keyed.items()
         }
 
+    def work(self, name: str) -> str:
+        """The folder of an intermediate result of a run. The next run replaces it, since a feed has one writer."""
+        return f"{self.path}/work/{name}"
+
     def last_commit(self) -> dict:
         return newest_commit(self.spark, f"{self.path}/commits", COMMIT, "run_no") or dict(NOTHING)
 

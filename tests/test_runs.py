@@ -443,3 +443,15 @@ def test_a_record_without_a_version_is_replayed_as_of_now(spark):
     ids = spark.createDataFrame([("q",), ("p",)], "quarantine_id string")
     later = T0 + timedelta(hours=1)
     assert {r.quarantine_id: r.source_updated_at for r in quarantine_replay(rows, ids, later).collect()} == {"q": later, "p": T0}
+
+
+def test_a_run_keeps_its_records_prunable_and_replaces_those_of_the_run_before(spark, runner):
+    runner.run_incremental(feed(spark, customer("a", 1), customer("b", 2, tier=...)))
+    checked = spark.read.parquet(runner.store.work("checked"))
+    kept = {r.business_key: r for r in checked.collect()}
+    assert kept["a"].payload is None and json.loads(kept["b"].payload)["id"] == "b", "only rejected payloads are needed"
+    assert kept["a"].content.email_address and kept["b"].reject_reason == "DRIFT"
+    runner.run_incremental(feed(spark, customer("c", 9)).withColumn("arrival_note", F.lit(None)))
+    after = spark.read.parquet(runner.store.work("checked"))
+    assert [r.business_key for r in after.collect()] == ["c"] and "arrival_note" not in after.columns
+    assert runner.store.read_state().count() == 2 and runner.store.read_set("quarantine_open").count() == 1

@@ -8,8 +8,8 @@ from feedweave.feeds import CUSTOMER_FEED
 from feedweave.operators import runs as R
 from feedweave.operators import watermarks as W
 from feedweave.operators.drift_events import SCHEMA as DRIFT_SCHEMA
-from feedweave.plans.process import check_records, process_batch
-from feedweave.session import materialize
+from feedweave.plans.process import check_records, keep_checked, process_batch
+from feedweave.session import stored
 from feedweave.sources import change_feed as S
 from workload.derived import derived, derived_sql
 from workload.queries.drift import CONTRACT_SQL, FINGERPRINTED
@@ -84,9 +84,9 @@ RUN_AT = {1: "2024-03-01 00:00:00", 2: "2024-03-02 00:00:00", 3: "2024-03-03 00:
 
 
 def _run(spark, records, run_no, state):
-    checked = materialize(check_records(records, CUSTOMER_FEED))
+    checked = keep_checked(check_records(records, CUSTOMER_FEED))
     empty = spark.createDataFrame([], DRIFT_SCHEMA)
-    keep = lambda df, name: materialize(df)
+    keep = lambda df, name: stored(df)
     return process_batch(checked, CUSTOMER_FEED, state, None, empty, f"run-{run_no}", RUN_AT[run_no], keep=keep)
 
 
@@ -109,7 +109,7 @@ def _runs(spark, sf_dir, upto):
         else:
             records = S.in_window(feed, *BACKFILL)
         outcome = _run(spark, records, run_no, state)
-        state = materialize(outcome.state) if run_no < upto else outcome.state
+        state = stored(outcome.state) if run_no < upto else outcome.state
         rows.append(_run_row(outcome, "INCREMENTAL" if run_no < 3 else "BACKFILL"))
     return state, rows
 
