@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from feedweave.functions.money import is_decimal_text, to_minor_units
 from feedweave.functions.text import format_instant, parse_instant, trim_text, wrap_to_int
+from feedweave.operators import drift
 from feedweave.operators import mapping as MP
 from feedweave.operators.contract import CUSTOMERS, ORDERS
 from feedweave.operators.drift import drift_findings, drift_route, fingerprint
@@ -101,6 +102,25 @@ def test_drift_cases(spark):
     ]
 
 
+def test_one_undeclared_field_is_found_without_walking_the_payload(spark):
+    docs = [
+        changed(CUSTOMER, extra=1),
+        changed(CUSTOMER, extra={"a": {"b": 1}}),
+        changed(CUSTOMER, extra=None),
+        changed(CUSTOMER, address__geo=[1]),
+        changed(CUSTOMER, address={"geo": "x"}),
+        changed(CUSTOMER, address=..., extra="x"),
+        changed(CUSTOMER, address=5, extra=True),
+        changed(CUSTOMER, **{"a.b c'\"": 1.5}),
+        changed(CUSTOMER, **{"": 1}),
+    ]
+    seen = drift.with_types(records(spark, *docs), CUSTOMERS)
+    rows = seen.select(drift._one_undeclared(CUSTOMERS).alias("one"), drift._undeclared(CUSTOMERS).alias("walked")).collect()
+    assert len(rows) == len(docs) and all(len(r.one) == 1 and r.one == r.walked for r in rows)
+    several = drift_findings(records(spark, changed(CUSTOMER, z=1, address__geo=1, b=2)), CUSTOMERS).first().findings
+    assert sorted(f.field for f in several) == ["address.geo", "b", "z"]
+
+
 def test_rename_is_greedy_and_stays_next_to_its_field(spark):
     """Two missing fields and two similar candidates; a nested candidate never serves a root field."""
     doc = changed(CUSTOMER, firstName=..., lastName=..., email=..., address__email="x")
